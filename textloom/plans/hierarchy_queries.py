@@ -14,10 +14,10 @@ WITH RECURSIVE n AS (
          CASE WHEN max(type = 'submission') THEN NULL ELSE nullif(regexp_replace(trim(min(parent_id)), '^[tT][13]_', ''), '') END AS parent
   FROM entries WHERE id IS NOT NULL GROUP BY id),
 w AS (
-  SELECT id, id AS at, [id] AS seen FROM n
+  SELECT id, id AS cur, [id] AS seen FROM n
   UNION ALL
-  SELECT w.id, p.id, list_append(w.seen, p.id) FROM w JOIN n a ON a.id = w.at JOIN n p ON p.id = a.parent WHERE NOT list_contains(w.seen, p.id)),
-l AS (SELECT id, arg_max(at, len(seen)) AS last, arg_max(seen, len(seen)) AS seen FROM w GROUP BY id),
+  SELECT w.id, p.id, list_append(w.seen, p.id) FROM w JOIN n a ON a.id = w.cur JOIN n p ON p.id = a.parent WHERE NOT list_contains(w.seen, p.id)),
+l AS (SELECT id, arg_max(cur, len(seen)) AS last, arg_max(seen, len(seen)) AS seen FROM w GROUP BY id),
 r AS (
   SELECT l.id, l.seen, l.last, a.terminal, list_position(l.seen, p.id) AS loop_at
   FROM l JOIN n a ON a.id = l.last LEFT JOIN n p ON p.id = a.parent),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.llm import lookalikes, term_counts
+from textloom.llm import bpe, leaks, lookalikes, shared_spans, term_counts
 from textloom.plans.registry import query
 from textloom.session import table
 
@@ -52,3 +52,33 @@ def p2_forms(spark, sf_dir):
 def p2_model_groups(spark, sf_dir):
     names = table(spark, sf_dir, "entries").select(F.explode("models_detected").alias("name"))
     return lookalikes.skeleton_groups(names, "name")
+
+
+@query("p8_ids")
+def p8_ids(spark, sf_dir):
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+@query("p9_found")
+def p9_found(spark, sf_dir):
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query("p9_spans")
+def p9_spans(spark, sf_dir):
+    return leaks.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query("p10_found")
+def p10_found(spark, sf_dir):
+    return shared_spans.shared_chars(table(spark, sf_dir, "documents"))
+
+
+@query("p10_report")
+def p10_report(spark, sf_dir):
+    return shared_spans.shared_report(table(spark, sf_dir, "documents"))
+
+
+@query("p10_intervals")
+def p10_intervals(spark, sf_dir):
+    return shared_spans.removal_intervals(table(spark, sf_dir, "documents"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, leaks, lookalikes, shared_spans, term_counts
+from textloom.llm import bpe, conversations, leaks, lookalikes, shared_spans, term_counts
+from textloom.plans import hierarchy_queries
 from textloom.plans.registry import query
 from textloom.session import table
 
@@ -82,3 +83,41 @@ def p10_report(spark, sf_dir):
 @query("p10_intervals")
 def p10_intervals(spark, sf_dir):
     return shared_spans.removal_intervals(table(spark, sf_dir, "documents"))
+
+
+_THREADS = hierarchy_queries._WALK + r""",
+x AS (
+  SELECT id, max(type = 'submission') AS post, min(author) AS author, max(is_submitter) AS own,
+    min(CASE WHEN created_utc >= 100000000000 THEN created_utc // 1000 WHEN created_utc IS NOT NULL THEN created_utc ELSE CAST(epoch(try_cast(created_date AS TIMESTAMP)) AS BIGINT) END) AS t,
+    nullif(regexp_replace(trim(min(link_id)), '^[tT][13]_', ''), '') AS link,
+    nullif(regexp_replace(trim(min(parent_id)), '^[tT][13]_', ''), '') AS parent,
+    max(CASE WHEN type = 'submission' THEN coalesce(trim(title, E' \t\r\n') NOT IN ('', '[deleted]', '[removed]'), false) OR coalesce(trim(selftext, E' \t\r\n') NOT IN ('', '[deleted]', '[removed]'), false)
+             ELSE coalesce(trim(body, E' \t\r\n') NOT IN ('', '[deleted]', '[removed]'), false) END) AS has_text
+  FROM entries WHERE id IS NOT NULL GROUP BY id),
+v AS (SELECT x.*, CASE WHEN post THEN x.id ELSE coalesce(link, CASE WHEN state = 'tree' THEN root_id END) END AS conv, CASE WHEN state = 'tree' THEN root_id END AS root FROM x JOIN h ON h.id = x.id),
+y AS (
+  SELECT v.*, NOT v.post AND (p.id IS NULL OR p.conv IS DISTINCT FROM v.conv OR v.root IS DISTINCT FROM v.conv OR coalesce(v.t < p.t, false)) AS broken
+  FROM v LEFT JOIN v p ON p.id = v.parent WHERE v.conv IS NOT NULL),
+z AS (
+  SELECT y.*, CASE WHEN y.post OR coalesce(y.own, y.author = s.author AND y.author <> '[deleted]', false) THEN 'op' ELSE 'other' END AS role, s.has_text AS head_text
+  FROM y JOIN y s ON s.id = y.conv AND s.post),
+k AS (SELECT conv FROM z GROUP BY conv HAVING bool_and(head_text) AND NOT bool_or(broken) AND bool_or(NOT post AND has_text AND role = 'other'))
+SELECT conv AS post_id, row_number() OVER (PARTITION BY conv ORDER BY t, id) - 1 AS turn, id, role
+FROM z WHERE conv IN (SELECT conv FROM k) AND (post OR has_text)
+"""
+
+
+@query("p3_found", _THREADS)
+def p3_found(spark, sf_dir):
+    return conversations.turns(table(spark, sf_dir, "entries"))
+
+
+@query("p3_links")
+def p3_links(spark, sf_dir):
+    entries = table(spark, sf_dir, "entries")
+    return conversations.reply_links(entries, conversations.messages(entries))
+
+
+@query("p3_conversations")
+def p3_conversations(spark, sf_dir):
+    return conversations.conversations(table(spark, sf_dir, "entries"))[1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, conversations, leaks, lookalikes, shared_spans, term_counts
+from textloom.llm import bpe, conversations, leaks, lookalikes, near_duplicates, shared_spans, term_counts
 from textloom.plans import hierarchy_queries
 from textloom.plans.registry import query
 from textloom.session import table
@@ -121,3 +121,13 @@ def p3_links(spark, sf_dir):
 @query("p3_conversations")
 def p3_conversations(spark, sf_dir):
     return conversations.conversations(table(spark, sf_dir, "entries"))[1]
+
+
+@query("p1_found")
+def p1_found(spark, sf_dir):
+    return near_duplicates.similar_pairs(table(spark, sf_dir, "entries"))
+
+
+@query("p1_groups")
+def p1_groups(spark, sf_dir):
+    return near_duplicates.groups(table(spark, sf_dir, "entries"))

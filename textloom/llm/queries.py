@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, conversations, leaks, lookalikes, near_duplicates, shared_spans, term_counts
+from textloom.llm import bpe, conversations, leaks, lookalikes, near_duplicates, personal_info, shared_spans, term_counts
 from textloom.plans import hierarchy_queries
 from textloom.plans.registry import query
 from textloom.session import table
@@ -131,3 +131,14 @@ def p1_found(spark, sf_dir):
 @query("p1_groups")
 def p1_groups(spark, sf_dir):
     return near_duplicates.groups(table(spark, sf_dir, "entries"))
+
+
+@query("p4_found")
+def p4_found(spark, sf_dir):
+    return personal_info.found(table(spark, sf_dir, "entries"), table(spark, sf_dir, "name_parts"))
+
+
+@query("p4_redacted")
+def p4_redacted(spark, sf_dir):
+    r = personal_info.redacted(table(spark, sf_dir, "entries"), table(spark, sf_dir, "name_parts"))
+    return r.select("id", *(c for f in personal_info.FIELDS for c in (f"{f}_redacted", f"{f}_kinds")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, conversations, leaks, lookalikes, near_duplicates, personal_info, shared_spans, term_counts
+from textloom.llm import abuse, bpe, conversations, leaks, lookalikes, near_duplicates, personal_info, shared_spans, term_counts
 from textloom.plans import hierarchy_queries
 from textloom.plans.registry import query
 from textloom.session import table
@@ -142,3 +142,22 @@ def p4_found(spark, sf_dir):
 def p4_redacted(spark, sf_dir):
     r = personal_info.redacted(table(spark, sf_dir, "entries"), table(spark, sf_dir, "name_parts"))
     return r.select("id", *(c for f in personal_info.FIELDS for c in (f"{f}_redacted", f"{f}_kinds")))
+
+
+def _abuse(spark, sf_dir):
+    return abuse.scores(table(spark, sf_dir, "entries"), table(spark, sf_dir, "toxic_labels"), table(spark, sf_dir, "abuse_terms"))
+
+
+@query("p6_found")
+def p6_found(spark, sf_dir):
+    return _abuse(spark, sf_dir).where("category is not null").select("id", "category")
+
+
+@query("p6_scores")
+def p6_scores(spark, sf_dir):
+    return _abuse(spark, sf_dir)
+
+
+@query("p6_rates")
+def p6_rates(spark, sf_dir):
+    return abuse.rates(_abuse(spark, sf_dir))

@@ -55,19 +55,31 @@ def clean(c: Column, profile: str = "pipeline") -> Column:
     return squash(c)
 
 
+def let(c: Column, f) -> Column:
+    """``f`` of a value that is computed once: a lambda's variable, where an expression used twice would be evaluated twice."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def rewrite_matches(c: Column, pattern: str, f) -> Column:
     """Each match of ``pattern`` replaced by ``f`` of it: the gaps and the rewritten matches are zipped together."""
-    p = F.lit(pattern)
-    matches = F.transform(F.regexp_extract_all(c, p, F.lit(0)), f)
-    return F.array_join(F.zip_with(F.split(c, pattern, -1), matches, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    def rewritten(v: Column) -> Column:
+        matches = F.transform(F.regexp_extract_all(v, F.lit(pattern), F.lit(0)), f)
+        return F.array_join(F.zip_with(F.split(v, pattern, -1), matches, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return let(c, rewritten)
 
 
 def normalize_names(c: Column, patterns: dict[str, str] | None = None) -> Column:
     """Product names without spaces, hyphens and underscores, in capitals. Texts without the stem skip the rewriting."""
-    out = c
-    for p in (patterns or lexicon.DETECT).values():
-        out = rewrite_matches(out, f"(?iU){p}", lambda m: F.upper(F.translate(m, " -_", "")))
-    return F.when(c.rlike("(?i)gpt"), out).otherwise(c) if patterns is None else out
+
+    def rewritten(v: Column) -> Column:
+        out = v
+        for p in (patterns or lexicon.DETECT).values():
+            out = rewrite_matches(out, f"(?iU){p}", lambda m: F.upper(F.translate(m, " -_", "")))
+        return out if patterns else F.when(v.rlike("(?i)gpt"), out).otherwise(v)
+
+    return let(c, rewritten)
 
 
 def sentences(c: Column) -> Column:
@@ -201,7 +213,7 @@ def key_values(c: Column) -> Column:
     parts = F.filter(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda p: (p != "") & (p != "_"))
     pairs = F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
     # the first of repeated keys stands, so a malformed row cannot fail the query
-    return F.map_from_entries(F.aggregate(pairs, F.cast(F.array(), "array<struct<k:string,v:string>>"), lambda a, x: F.when(F.exists(a, lambda y: y["k"] == x["k"]), a).otherwise(F.array_append(a, x))))
+    return F.map_from_entries(F.aggregate(pairs, F.array().cast("array<struct<k:string,v:string>>"), lambda a, x: F.when(F.exists(a, lambda y: y["k"] == x["k"]), a).otherwise(F.array_append(a, x))))
 
 
 def no_space_after(misc: Column) -> Column:

@@ -30,7 +30,8 @@ def sentence_rows(parsed: DataFrame, tree: str = "full_tree") -> DataFrame:
 def mentions(sent: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     """One row per mention: adds ``m`` (the word), ``model`` and ``mids`` (ids of all mentions in the sentence)."""
     marked = sent.withColumn("found", F.filter(F.transform("toks", lambda w: F.struct(w.alias("w"), X.canonical(w["text"], patterns).alias("model"))), lambda x: x["model"].isNotNull())).where("size(found) > 0")
-    return marked.withColumn("mids", F.transform("found", lambda x: x["w"]["id"])).withColumn("f", F.explode("found")).withColumn("m", F.col("f.w")).withColumn("model", F.col("f.model")).drop("f", "found")
+    keep = [F.col(c) for c in sent.columns]
+    return marked.select(*keep, F.transform("found", lambda x: x["w"]["id"]).alias("mids"), F.inline("found").alias("m", "model"))
 
 
 def attachments(sent: DataFrame, one_hop: bool = True, inferred: str | None = None, generic_only: bool = False, compat: bool = False, patterns: dict[str, str] | None = None) -> DataFrame:
@@ -49,14 +50,15 @@ def attachments(sent: DataFrame, one_hop: bool = True, inferred: str | None = No
     m = m.withColumn("h", F.expr(f"if(m.deprel = 'root', null, if(m.head_id > 0, get(toks, m.head_id - 1), {last}))"))
     m = m.withColumn("h", F.expr(f"if({free.format('h')}, h, null)"))
     kids = f"filter(transform(m.children, c -> get(toks, c - 1)), k -> {free.format('k')})"
-    as_row = lambda role, e, low=True: f"transform({e}, w -> struct('{role}' AS role, {'lower(w.lemma)' if low else 'w.lemma'} AS word, w.upos AS upos))"
+    as_row = lambda role, e, low=True: f"transform({e}, w -> struct(model AS model, '{role}' AS role, {'lower(w.lemma)' if low else 'w.lemma'} AS word, w.upos AS upos))"
     parts = [as_row("head", "filter(array(h), w -> w is not null)", not compat), as_row("child", kids)]
     if one_hop:
         gp = f"filter(array(if(h.deprel = 'root', null, if(h.head_id > 0, get(toks, h.head_id - 1), {last}))), w -> w is not null and {free.format('w')})"
         sib = f"filter(transform(coalesce(h.children, array()), c -> get(toks, c - 1)), w -> w.id <> m.id and {free.format('w')})"
         grand = f"flatten(transform({kids}, k -> filter(transform(k.children, c -> get(toks, c - 1)), w -> {free.format('w')})))"
         parts += [as_row("grandparent", gp), as_row("sibling", sib), as_row("grandchild", grand)]
-    return m.select(*keep, "model", F.inline(F.expr(f"concat({', '.join(parts)})")).alias("role", "word", "upos")).where("word is not null")
+    # the model travels inside the generated rows
+    return m.select(*keep, F.inline(F.expr(f"concat({', '.join(parts)})")).alias("model", "role", "word", "upos")).where("word is not null")
 
 
 def attachments_by_joins(words: DataFrame, key: list[str], one_hop: bool = True) -> DataFrame:

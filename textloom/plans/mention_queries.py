@@ -104,8 +104,8 @@ q AS (SELECT word, model, count(*) AS n FROM a GROUP BY ALL),
 pm AS (SELECT word, upos AS majority_upos, n AS majority_count FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, upos) AS r FROM p) WHERE r = 1),
 qm AS (SELECT word, model AS majority_model, n AS majority_model_count FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, model) AS r FROM q) WHERE r = 1),
 t AS (SELECT word, CAST(sum(n) AS BIGINT) AS total_count FROM p GROUP BY ALL),
-f AS (SELECT word, string_agg(model || '=' || n, ',' ORDER BY model) AS model_freqs FROM q GROUP BY ALL)
-SELECT * FROM t JOIN pm USING (word) JOIN qm USING (word) JOIN f USING (word)
+fr AS (SELECT word, string_agg(model || '=' || n, ',' ORDER BY model) AS model_freqs FROM q GROUP BY ALL)
+SELECT * FROM t JOIN pm USING (word) JOIN qm USING (word) JOIN fr USING (word)
 """
 
 
@@ -116,7 +116,7 @@ def _summary(spark, sf_dir, drop):
     return s.withColumn("model_freqs", F.array_join(F.array_sort(entries), ","))
 
 
-@query("majority_pos_model", _SUMMARY.replace("), f AS", "),f AS"))
+@query("majority_pos_model", _SUMMARY)
 def majority_pos_model(spark, sf_dir):
     return _summary(spark, sf_dir, None)
 

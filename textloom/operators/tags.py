@@ -86,9 +86,11 @@ def confusion(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFram
     return df.groupBy(gold, pred).agg(F.count(F.lit(1)).alias("n"))
 
 
-def token_confusion(pred: DataFrame, gold: DataFrame, sent: str = "sent", pos: str = "pos", tag: str = "tag") -> DataFrame:
-    p = pred.select(sent, pos, kind(F.col(tag)).alias("pred"))
-    return confusion(gold.select(sent, pos, kind(F.col(tag)).alias("gold")).join(p, [sent, pos]))
+def token_confusion(pred: DataFrame, gold: DataFrame, sent: str = "sent", pos: str = "pos", tag: str = "tag", types_only: bool = False) -> DataFrame:
+    """(gold, pred, n) over token positions; ``types_only`` strips the prefixes first."""
+    t = kind(F.col(tag)) if types_only else F.col(tag)
+    p = pred.select(sent, pos, t.alias("pred"))
+    return confusion(gold.select(sent, pos, t.alias("gold")).join(p, [sent, pos]))
 
 
 def token_scores(conf: DataFrame) -> DataFrame:

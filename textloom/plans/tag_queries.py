@@ -94,7 +94,7 @@ def ner_entity_f1(spark, sf_dir):
     return T.micro(ner_entity_by_type(spark, sf_dir))
 
 
-_TOKEN = f"WITH {_PAIR}, c AS (SELECT regexp_replace(g.tag, '^[BIES]-', '') AS gold, regexp_replace(p.tag, '^[BIES]-', '') AS pred, count(*) AS n FROM be g JOIN pbe p ON g.sent = p.sent AND g.pos = p.pos GROUP BY ALL)"
+_TOKEN = f"WITH {_PAIR}, c AS (SELECT g.tag AS gold, p.tag AS pred, count(*) AS n FROM be g JOIN pbe p ON g.sent = p.sent AND g.pos = p.pos GROUP BY ALL)"
 
 
 def _token_confusion(spark, sf_dir):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.session import once
 
 WORD = "struct<text:string,lemma:string,upos:string,deprel:string,head_id:int,id:int,children:array<int>>"
 ROLES = ("head", "grandparent", "sibling", "child", "grandchild")
@@ -29,7 +30,8 @@ def sentence_rows(parsed: DataFrame, tree: str = "full_tree") -> DataFrame:
 
 def mentions(sent: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     """One row per mention: adds ``m`` (the word), ``model`` and ``mids`` (ids of all mentions in the sentence)."""
-    marked = sent.withColumn("found", F.filter(F.transform("toks", lambda w: F.struct(w.alias("w"), X.canonical(w["text"], patterns).alias("model"))), lambda x: x["model"].isNotNull())).where("size(found) > 0")
+    found = F.filter(F.transform("toks", lambda w: F.struct(w.alias("w"), X.canonical(w["text"], patterns).alias("model"))), lambda x: x["model"].isNotNull())
+    marked = once(sent, found=found).where("size(found) > 0")
     keep = [F.col(c) for c in sent.columns]
     return marked.select(*keep, F.transform("found", lambda x: x["w"]["id"]).alias("mids"), F.inline("found").alias("m", "model"))
 
@@ -47,9 +49,10 @@ def attachments(sent: DataFrame, one_hop: bool = True, inferred: str | None = No
         m = m.withColumn("model", F.coalesce(F.when(F.col("model") == "chatgpt", first) if generic_only else first, "model"))
     last = "element_at(toks, -1)" if compat else "null"
     free = "not array_contains(mids, {}.id)"
-    m = m.withColumn("h", F.expr(f"if(m.deprel = 'root', null, if(m.head_id > 0, get(toks, m.head_id - 1), {last}))"))
+    m = once(m, h=F.expr(f"if(m.deprel = 'root', null, if(m.head_id > 0, get(toks, m.head_id - 1), {last}))"))
+    m = once(m, kids=F.expr(f"filter(transform(m.children, c -> get(toks, c - 1)), k -> {free.format('k')})"))
     m = m.withColumn("h", F.expr(f"if({free.format('h')}, h, null)"))
-    kids = f"filter(transform(m.children, c -> get(toks, c - 1)), k -> {free.format('k')})"
+    kids = "kids"
     as_row = lambda role, e, low=True: f"transform({e}, w -> struct(model AS model, '{role}' AS role, {'lower(w.lemma)' if low else 'w.lemma'} AS word, w.upos AS upos))"
     parts = [as_row("head", "filter(array(h), w -> w is not null)", not compat), as_row("child", kids)]
     if one_hop:

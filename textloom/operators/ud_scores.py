@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import conllu as C
 from textloom.operators.tags import prf
+from textloom.session import materialize
 
 METRICS = ("Words", "UPOS", "XPOS", "UFeats", "AllTags", "Lemmas", "UAS", "LAS", "CLAS", "MLAS", "BLEX")
 _SEP = "\u0001"
@@ -41,9 +42,9 @@ def _functional_children(w: DataFrame, key: list[str]) -> DataFrame:
 
 def scores(gold_words: DataFrame, system_words: DataFrame, key: list[str]) -> DataFrame:
     """(metric, correct, gold_total, system_total, precision, recall, f1) of the eleven word metrics, in one aggregate per side."""
-    g, s = prepared(gold_words, key), prepared(system_words, key)
+    g, s = materialize(prepared(gold_words, key), "gold"), materialize(prepared(system_words, key), "system")
     g, s = (x.join(_functional_children(x, key), [*key, "id_start"], "left").withColumn("kids", F.coalesce("kids", F.lit(""))) for x in (g, s))
-    a = aligned(g, s, key)
+    a = materialize(aligned(g, s, key), "aligned")
     # a system head counts as right if it is aligned with the gold head
     heads = a.select(*key, F.col("s_id_start").alias("s_head"), F.col("g_id_start").alias("_mapped"))
     a = a.join(heads, [*key, "s_head"], "left").withColumn("_mapped", F.when(F.col("s_head") == 0, 0).otherwise(F.col("_mapped")))

@@ -13,7 +13,7 @@ from textloom.functions import text as X
 from textloom.operators import attachments as A
 from textloom.operators import summaries as S
 from textloom.plans.registry import query
-from textloom.session import table
+from textloom.session import materialize, once, spread, table
 
 _CASE = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '{p}') THEN '{n}'" for n, p in lexicon.CANONICAL.items()) + " END"
 _UPOS = ["NOUN", "VERB", "ADJ", "ADV", "PUNCT"]
@@ -44,7 +44,8 @@ def _tree(entries):
     toks = f"""transform(ws, (w, i) -> struct(w AS text, lower(w) AS lemma, get(array({upos}), length(w) % 5) AS upos, if(i = 0, 'root', 'dep') AS deprel, (i + 1) div 2 AS head_id, i + 1 AS id,
         filter(array(2 * i + 2, 2 * i + 3), c -> c <= size(ws)) AS children))"""
     words = F.filter(F.split("cleaned_text", " "), lambda w: w != "")
-    return entries.where("cleaned_text is not null").select("model_inferred_temporal", words.alias("ws")).selectExpr("model_inferred_temporal", f"{toks} AS toks")
+    texts = spread(entries.where("cleaned_text is not null").select("model_inferred_temporal", "cleaned_text"))
+    return once(once(texts, ws=words), toks=F.expr(toks)).select("model_inferred_temporal", "toks")
 
 
 def _attached(spark, sf_dir, **kw):
@@ -63,7 +64,8 @@ def deps_onehop(spark, sf_dir):
 
 @query("deps_onehop_joins", _ROLES + "SELECT role, model, word, upos, count(*) AS n FROM a GROUP BY ALL")
 def deps_onehop_joins(spark, sf_dir):
-    rows = _tree(table(spark, sf_dir, "entries").select("model_inferred_temporal", "cleaned_text")).select(F.monotonically_increasing_id().alias("rid"), F.explode("toks").alias("w")).select("rid", "w.*")
+    rows = _tree(table(spark, sf_dir, "entries")).select(F.monotonically_increasing_id().alias("rid"), F.explode("toks").alias("w")).select("rid", "w.*")
+    rows = materialize(rows, "words")  # the row numbers must be the same in all joins
     return S.counts(A.attachments_by_joins(rows, ["rid"]), "role", "model", "word", "upos")
 
 

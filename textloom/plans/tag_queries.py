@@ -150,10 +150,10 @@ def class_scores(spark, sf_dir):
 
 @query("accuracy_macro_f1", _CONF + """, l AS (SELECT gold AS label FROM s UNION SELECT pred FROM s),
 x AS (SELECT label, coalesce((SELECT sum(n) FROM s WHERE gold = label AND pred = label), 0) AS tp, coalesce((SELECT sum(n) FROM s WHERE pred = label), 0) AS p, coalesce((SELECT sum(n) FROM s WHERE gold = label), 0) AS g FROM l)
-SELECT (SELECT sum(CASE WHEN gold = pred THEN n ELSE 0 END) / sum(n) FROM s)::DOUBLE AS accuracy, (SELECT avg(coalesce(2 * tp / nullif(p + g, 0), 0)) FROM x)::DOUBLE AS macro_f1""")
+SELECT (SELECT sum(CASE WHEN gold = pred THEN n ELSE 0 END) / sum(n) FROM s)::DOUBLE AS accuracy, round((SELECT avg(coalesce(2 * tp / nullif(p + g, 0), 0)) FROM x)::DOUBLE, 9) AS macro_f1""")
 def accuracy_macro_f1(spark, sf_dir):
     c = T.condense(_confusion(spark, sf_dir))
-    return T.accuracy(c).join(F.broadcast(T.macro_f1(c)), F.lit(True))
+    return T.accuracy(c).join(F.broadcast(T.macro_f1(c).select(F.round("macro_f1", 9).alias("macro_f1"))), F.lit(True))
 
 
 @query("label_remap", f"SELECT CASE {_MODE} WHEN 'AIR' THEN 'FLY' WHEN 'REG AIR' THEN 'FLY' ELSE {_MODE} END AS label, count(*) AS n FROM lineitem GROUP BY ALL")

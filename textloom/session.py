@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[8]", app: str = "textloom", partitions: int = 8, **conf: str) -> SparkSession:
@@ -65,3 +66,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than the cluster has cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, **columns) -> DataFrame:
+    """Adds columns that are computed once per row. A generated column is a border that the optimizer does not merge
+    projections across, so an array built here is not rebuilt at each of its uses inside lambdas above."""
+    for name, c in columns.items():
+        df = df.select("*", F.explode(F.array(c)).alias(name))
+    return df

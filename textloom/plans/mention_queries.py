@@ -64,8 +64,9 @@ def deps_onehop(spark, sf_dir):
 
 @query("deps_onehop_joins", _ROLES + "SELECT role, model, word, upos, count(*) AS n FROM a GROUP BY ALL")
 def deps_onehop_joins(spark, sf_dir):
-    rows = _tree(table(spark, sf_dir, "entries")).select(F.monotonically_increasing_id().alias("rid"), F.explode("toks").alias("w")).select("rid", "w.*")
-    rows = materialize(rows, "words")  # the row numbers must be the same in all joins
+    # row numbers are given before the words are split up, and kept: they must be the same in all joins
+    numbered = materialize(_tree(table(spark, sf_dir, "entries")).select(F.monotonically_increasing_id().alias("rid"), "toks"), "numbered")
+    rows = numbered.select("rid", F.explode("toks").alias("w")).select("rid", "w.*")
     return S.counts(A.attachments_by_joins(rows, ["rid"]), "role", "model", "word", "upos")
 
 
@@ -150,10 +151,10 @@ def match_log_merged(spark, sf_dir):
 
 @query("canonical_mentions", _WORDS + "SELECT model AS canonical, count(*) AS mentions, count(DISTINCT rid) AS texts FROM w WHERE model IS NOT NULL GROUP BY ALL")
 def canonical_mentions(spark, sf_dir):
-    rows = table(spark, sf_dir, "entries").select(F.monotonically_increasing_id().alias("rid"), "cleaned_text").select("rid", F.explode(F.split("cleaned_text", " ")).alias("w"))
-    m = rows.withColumn("canonical", X.canonical(F.col("w"))).where("canonical is not null")
-    per_text = m.groupBy("canonical", "rid").agg(F.count(F.lit(1)).alias("n"))
-    return per_text.groupBy("canonical").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("texts"))
+    names = F.filter(F.transform(F.split("cleaned_text", " "), X.canonical), lambda c: c.isNotNull())
+    found = once(spread(table(spark, sf_dir, "entries").select("cleaned_text")), names=names).select("names", F.explode(F.array_distinct("names")).alias("canonical"))
+    n = F.size(F.filter("names", lambda c: c == F.col("canonical")))
+    return found.groupBy("canonical").agg(F.sum(n).alias("mentions"), F.count(F.lit(1)).alias("texts"))
 
 
 @query("uppercase_tokens", r"SELECT DISTINCT unnest(regexp_extract_all(cleaned_text, '\b[A-Z][A-Z0-9.]+\b')) AS token FROM entries")

@@ -151,7 +151,7 @@ def match_log_merged(spark, sf_dir):
 
 @query("canonical_mentions", _WORDS + "SELECT model AS canonical, count(*) AS mentions, count(DISTINCT rid) AS texts FROM w WHERE model IS NOT NULL GROUP BY ALL")
 def canonical_mentions(spark, sf_dir):
-    names = F.filter(F.transform(F.split("cleaned_text", " "), X.canonical), lambda c: c.isNotNull())
+    names = F.filter(F.transform(F.split("cleaned_text", " "), lambda w: X.canonical(w)), lambda c: c.isNotNull())
     found = once(spread(table(spark, sf_dir, "entries").select("cleaned_text")), names=names).select("names", F.explode(F.array_distinct("names")).alias("canonical"))
     n = F.size(F.filter("names", lambda c: c == F.col("canonical")))
     return found.groupBy("canonical").agg(F.sum(n).alias("mentions"), F.count(F.lit(1)).alias("texts"))

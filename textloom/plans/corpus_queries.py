@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.operators import assembly as B
 from textloom.operators import conllu as C
+from textloom.operators import token_patterns as K
 from textloom.operators import packing as P
 from textloom.operators import trees as T
 from textloom.operators import ud_scores as U
@@ -287,3 +288,29 @@ def clean_text(spark, sf_dir):
 @query("sentence_split", r"SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '([.!?])[\s\x{0B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', E'\\1\x01', 'g'), E'\x01'), lambda s: trim(s) <> '')) AS INTEGER) AS sentences FROM documents WHERE text IS NOT NULL")
 def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
+
+
+_POS = f"WITH w AS (SELECT sent, row_number() OVER (PARTITION BY sent ORDER BY pos) AS i, form, CASE length(form) WHEN 2 THEN 'NOUN' ELSE 'VERB' END AS upos {_SENT})"
+
+
+@query("graph_pattern", _POS + " SELECT a.sent, CAST(a.i AS INTEGER) AS noun, CAST(b.i AS INTEGER) AS verb FROM w a JOIN w b ON a.sent = b.sent AND b.i = a.i + 1 WHERE a.upos = 'NOUN' AND b.upos = 'VERB' AND regexp_full_match(b.form, 'p[1-5].')")
+def graph_pattern(spark, sf_dir):
+    w = C.words(_conllu(spark, sf_dir)).withColumnRenamed("id_start", "id")
+    return K.match_graph(w, ["sent"], "{upos:NOUN}=noun >dep:x {upos:VERB;form:/p[1-5]./}=verb")
+
+
+@query("token_runs")
+def token_runs(spark, sf_dir):
+    g = C.words(_conllu(spark, sf_dir)).groupBy("sent").agg(F.array_sort(F.collect_list(F.struct("id_start", F.col("form").alias("text"), "upos"))).alias("t"))
+    return g.select("sent", F.explode(K.match_runs(F.col("t"), "{upos:NOUN} {upos:VERB}+", ["text", "upos"])).alias("run"))
+
+
+@query("label_counts", "SELECT lang AS label, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL")
+def label_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("lang is not null").groupBy(F.col("lang").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sentence_length_mean", "SELECT avg(n) AS mean_words, CAST(max(n) AS BIGINT) AS longest FROM (SELECT len(list_filter(string_split(cleaned_text, ' '), lambda w: w <> '')) AS n FROM entries WHERE cleaned_text IS NOT NULL)")
+def sentence_length_mean(spark, sf_dir):
+    n = table(spark, sf_dir, "entries").where("cleaned_text is not null").select(F.size(F.filter(F.split("cleaned_text", " "), lambda w: w != "")).alias("n"))
+    return n.agg(F.avg("n").alias("mean_words"), F.max("n").cast("bigint").alias("longest"))

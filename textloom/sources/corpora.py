@@ -91,7 +91,7 @@ def read_bracketed(spark: SparkSession, path) -> DataFrame:
                     rows += [(f, s, i, w, g) for i, (w, g) in enumerate(bracketed_tags(block.split("\n")))]
             yield pd.DataFrame(rows, columns=["file", "sent", "pos", "token", "tag"])
 
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value").mapInPandas(run, "file string, sent int, pos int, token string, tag string")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").mapInPandas(run, "file string, sent int, pos int, token string, tag string")
 
 
 def plain_sentences(words: DataFrame, key: list[str]) -> DataFrame:

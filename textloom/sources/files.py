@@ -40,7 +40,7 @@ def write_results(df: DataFrame, out: str, skipped: str, ids: str, failed: str =
 
 def read_pretty(spark: SparkSession, path, schema: str = SUMMARY) -> DataFrame:
     """Indented objects one after the other, which a JSON reader takes for one record: cut where one ends and the next begins."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     one = text.select(F.explode(F.split("value", r"(?<=\n {0,8}\})\s*(?=\{|$)")).alias("v")).where("trim(v) <> ''")
     return one.select(F.from_json("v", schema).alias("r")).select("r.*")
 
@@ -159,7 +159,7 @@ def read_trees(spark: SparkSession, path) -> DataFrame:
             rows = [(f, i, T.text_of(n)) for f, t in zip(b["file"], b["value"]) for i, n in enumerate(T.parse(t))]
             yield pd.DataFrame(rows, columns=["file", "tree_no", "tree"])
 
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value").mapInPandas(run, "file string, tree_no int, tree string")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").mapInPandas(run, "file string, tree_no int, tree string")
 
 
 def tagged_sentence_files(text, root: str = "ROOT"):

@@ -35,7 +35,7 @@ CASES = [
 ]
 PLAIN = [
     "Install numkit@0.7.59 first.", "Meet @ noon, then a 24 hour drive.", "no dr@vscum here", "ISBN 000-0-00-444964-0 is gone", "Ticket 4866-40826 is open", "Seed 1145403128 gives", "The build 2024-09-18 broke", "version 10.0.378.24",
-    "Road to 47 prompts, avenue by avenue.", "a two way street of ideas", "My name is on the list, sadly.", "Mark up the text, Grant access", "the baker will page me", "u/rapid-willow, will do.", "Kasona G. wrote", "It cost 1,222.50 for 397717 tokens", "look at the dot", "Error code 0x264278 at line 3892.",
+    "Road to 47 prompts, avenue by avenue.", "a two way street of ideas", "My name is on the list, sadly.", "Mark up the text, Grant access", "the baker will page me", "u/rapid-willow, will do.", "Kasona G. wrote", "It cost 1,222.50 for 397717 tokens", "look at the dot", "Error code 0x264278 at line 3892.", "What a GPT-4 careful way to go", "What a gpt 4 quick way to go",
 ]
 
 

@@ -136,7 +136,7 @@ _UNIT = r"(?:\s*,?\s*(?:apt|apartment|flat|unit|suite|ste|no)\.?\s*#?\w{1,5}\b)?
 _TOWN = rf"(?:\s*,\s*[{_W}]+(?:\s+[{_W}]+)?\s+(?:[A-Z]{{2}}\s+)?\d{{4,5}}(?:-\d{{4}})?\b)?"
 _SMALL = r"(?!(?:the|a|an|of|for|in|on|at|to|and|or|my|this|that|is|was|by|with|per|lines?|rows?|seconds?|minutes?|mins?|hours?|days?|weeks?|months?|years?|miles?|km|metres?|meters?|pages?|people|tries|dollars|euros|percent|tokens|prompts|ideas|way|words?)\b)"
 _STREET = re.compile(
-    rf"(?<![\w.])((?:(?:flat|apt|apartment|unit|suite)\.?\s*\w{{1,4}}\s*,\s*)?\d{{1,5}}[a-z]?\s+(?:(?:[NSEW]|North|South|East|West)\.?\s+)?(?:{_SMALL}[{_W}'’-]+\s+){{1,3}}(?:(?:{_SHORT})\b\.?|(?:{_TYPES})\b){_UNIT}{_TOWN})", re.I
+    rf"(?<![\w.-])((?:(?:flat|apt|apartment|unit|suite)\.?\s*\w{{1,4}}\s*,\s*)?\d{{1,5}}[a-z]?\s+(?:(?:[NSEW]|North|South|East|West)\.?\s+)?(?:{_SMALL}[{_W}'’-]+\s+){{1,3}}(?:(?:{_SHORT})\b\.?|(?:{_TYPES})\b){_UNIT}{_TOWN})", re.I
 )
 _STRASSE = re.compile(rf"[{_W}-]*(?:stra(?:ß|ss)e|str\.|weg|platz|gasse|allee)\s+\d{{1,4}}(?:\s?[a-z]\b|\b){_TOWN}", re.I)
 _LETTERS = r"[^\W\d_]+"
@@ -155,7 +155,18 @@ def _around(rx: re.Pattern, before: int, after: int):
     return parse
 
 
-street, strasse, calle, rue, box = _around(_STREET, 70, 48), _around(_STRASSE, 40, 48), _around(_CALLE, 0, 60), _around(_RUE, 12, 48), _around(_BOX, 12, 40)
+def _plain_word(t: str, span: tuple[int, int]) -> bool:
+    """Ends in a word that is a street type only when capitalised."""
+    m = re.search(r"\b(way|place|close)\W*$", t[slice(*span)])
+    return m is not None
+
+
+def street(t: str, a: int, b: int):
+    span = _any_street(t, a, b)
+    return None if span is None or _plain_word(t, span) else span
+
+
+_any_street, strasse, calle, rue, box = _around(_STREET, 70, 48), _around(_STRASSE, 40, 48), _around(_CALLE, 0, 60), _around(_RUE, 12, 48), _around(_BOX, 12, 40)
 
 
 class Names:

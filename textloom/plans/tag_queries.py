@@ -138,7 +138,7 @@ def confusion_row_pct(spark, sf_dir):
 
 @query("confusion_table", _CONF + " SELECT gold, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (pred = '{x}'), 0) AS BIGINT) AS \"{x}\"" for x in ("AIR", "MAIL", "SHIP")) + " FROM s GROUP BY gold")
 def confusion_table(spark, sf_dir):
-    return T.confusion_table(T.condense(_confusion(spark, sf_dir)), ["AIR", "MAIL", "SHIP"])
+    return T.confusion_table(T.condense(_confusion(spark, sf_dir)), ["AIR", "MAIL", "REG AIR", "SHIP"])
 
 
 @query("class_scores", _CONF + """, l AS (SELECT gold AS label FROM s UNION SELECT pred FROM s),

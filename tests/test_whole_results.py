@@ -1,5 +1,7 @@
 """Registered queries leave no row of their tables out."""
 
+import re
+
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
@@ -10,3 +12,24 @@ def test_confusion_table_has_every_label(spark):
     labels = {r.gold for r in rows}
     assert labels == {"AIR", "MAIL", "REG AIR", "SHIP"} == set(rows[0].asDict()) - {"gold"}
     assert sum(r[x] for r in rows for x in labels) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+# short link, handle, hashtag and emoji among other scripts, accents and tabs; texts that are or become blank
+TEXTS = {
+    1: "Voilà, ça marche 👍\thttps://t.co/aB3", 2: "Привет @bob_1! #tag мир", 3: "你好，世界。 ☀️", 4: "plain ascii. Text", 5: "\u00a0é\u3000", 6: " \t\n", 7: "", 8: "!!! 🤷‍♂️", 9: None,
+}
+
+
+def by_steps(t):
+    for p in (r"https?://t\.co/[a-zA-Z0-9]+", "@[a-zA-Z0-9_]+", "#[a-zA-Z]+", "[!.]+", "[\U0001f000-\U0001faff\u2600-\u27bf\u2b50\u2b55\ufe0f\u200d]"):
+        t = re.sub(p, " ", t)
+    return t.strip() or t
+
+
+def test_langid_clean_keeps_every_text(spark, tmp_path):
+    spark.createDataFrame(list(TEXTS.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    query = __spark_entry__.queries()["langid_clean"]
+    got = {r.doc_id: r.clean for r in query(spark, str(tmp_path)).collect()}
+    assert got == {k: by_steps(t) for k, t in TEXTS.items() if t is not None}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").collect()}
+    assert {r.doc_id: r.clean for r in query(spark, SF).collect()} == {k: by_steps(t) for k, t in docs.items()}

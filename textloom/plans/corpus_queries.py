@@ -271,8 +271,7 @@ def packed_batches(spark, sf_dir):
 
 @query("langid_clean", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://t\.co/[a-zA-Z0-9]+', ' ', 'g'), '@[a-zA-Z0-9_]+', ' ', 'g'), '#[a-zA-Z]+', ' ', 'g'), '[!.]+', ' ', 'g'), E' \t\r\n') AS clean FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x20-\x7e\n]*') AND trim(text, E' \n') <> ''")
 def langid_clean(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(r"text is not null and text rlike '^[\\x20-\\x7e\\n]*$' and trim(both ' \n' from text) <> ''")
-    return d.select("doc_id", X.langid_clean(F.col("text")).alias("clean"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.langid_clean(F.col("text")).alias("clean"))
 
 
 @query("tweet_clean")

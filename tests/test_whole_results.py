@@ -3,6 +3,7 @@
 import re
 
 import __spark_entry__
+from textloom.operators import conllu, ud_scores
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +34,28 @@ def test_langid_clean_keeps_every_text(spark, tmp_path):
     assert got == {k: by_steps(t) for k, t in TEXTS.items() if t is not None}
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").collect()}
     assert {r.doc_id: r.clean for r in query(spark, SF).collect()} == {k: by_steps(t) for k, t in docs.items()}
+
+
+def sentence(*rows):
+    """(id, form, head) as CoNLL-U; upos is the form in capitals."""
+    return "\n".join("\t".join([i, f, f, f.upper(), "_", "_", str(h), "dep" if h != "_" else "_", "_", "_"]) for i, f, h in rows)
+
+
+GOLD = sentence(("1-2", "vámonos", "_"), ("1", "vamos", 0), ("2", "nos", 3), ("3", "ya", 0), ("4", ".", 3))
+# the same surface as one word, expanded in another way, and the words of an unequal token next to it
+SYSTEMS = {
+    "one word": (sentence(("1", "vámonos", 0), ("2", "ya", 0), ("3", ".", 2)), 2, 2, 3),
+    "expanded otherwise": (sentence(("1-2", "vámonos", "_"), ("1", "vámo", 0), ("2", "Nos", 3), ("3", "ya", 0), ("4", ".", 3)), 3, 3, 4),
+    "split in the middle": (sentence(("1", "vámo", 0), ("2", "nos", 3), ("3", "ya", 0), ("4", ".", 3)), 3, 3, 4),
+    "wider token": (sentence(("1-3", "vámonosya", "_"), ("1", "vamos", 0), ("2", "nos", 3), ("3", "ya", 2), ("4", ".", 3)), 4, 3, 4),
+}
+
+
+def test_multi_word_tokens_are_aligned_by_common_words(spark):
+    for name, (system, words, uas, total) in SYSTEMS.items():
+        g, s = (conllu.words(spark.createDataFrame([(1, x), (2, PLAIN)], "sent int, value string")) for x in (GOLD, system))
+        got = {r.metric: (r.correct, r.gold_total, r.system_total) for r in ud_scores.scores(g, s, ["sent"]).collect()}
+        assert got["Words"] == (words + 2, 6, total + 2) and got["UAS"] == (uas + 2, 6, total + 2), (name, got)
+
+
+PLAIN = sentence(("1", "sí", 0), ("2", "!", 1))

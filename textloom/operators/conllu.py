@@ -75,6 +75,17 @@ def spans(words: DataFrame, key: list[str]) -> DataFrame:
     return words.where("id_end is null").withColumn("end", F.sum(n).over(w)).withColumn("begin", F.col("end") - n)
 
 
+def surface_spans(words: DataFrame, key: list[str]) -> DataFrame:
+    """Adds begin, end and ``multi`` to plain words, counted over the surface tokens: all words of a multi-word token have its span."""
+    n = F.length(F.regexp_replace("form", X.WHITE, ""))
+    w = Window.partitionBy(*key).orderBy("id_start", F.when(F.col("id_end").isNull(), 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    multi = F.col("id_end").isNull() & F.coalesce(F.col("id_start") <= F.max("id_end").over(w), F.lit(False))
+    token = F.last(F.when(F.col("id_end").isNotNull(), n), ignorenulls=True).over(w)
+    marked = words.withColumn("multi", multi).withColumn("_n", F.when(F.col("multi"), token).otherwise(n))
+    placed = marked.withColumn("end", F.sum(F.when(~F.col("multi"), F.col("_n")).otherwise(0)).over(w)).withColumn("begin", F.col("end") - F.col("_n"))
+    return placed.where("id_end is null").drop("_n")
+
+
 def problems(words: DataFrame, key: list[str]) -> DataFrame:
     """(key..., problem): ids that do not run 1, 2, ..., heads outside the sentence, and cycles of heads."""
     plain = words.where("id_end is null")

@@ -1,7 +1,8 @@
 """Scores of a parsed text against gold: tokens, words, tags, attachments, lemmas.
 
 Both sides are word rows with character spans over the same text. Words are aligned by equal spans in one
-join; inside multi-word tokens, whose words have no spans of their own, the longest common subsequence decides.
+join; only sentences with multi-word tokens, whose words have no spans of their own, are walked one by one, and
+in the regions of such tokens the longest common subsequence decides.
 """
 
 from __future__ import annotations
@@ -22,17 +23,74 @@ _SEP = "\u0001"
 
 def prepared(words: DataFrame, key: list[str]) -> DataFrame:
     """Plain words with spans, universal features sorted, relation without subtype, and word-class flags."""
-    w = C.spans(words, key)
+    w = C.surface_spans(words, key)
     feats = F.array_join(F.array_sort(F.filter(F.split(F.coalesce("feats", F.lit("")), r"\|"), lambda f: F.split_part(f, F.lit("="), F.lit(1)).isin(C.UNIVERSAL_FEATURES))), "|")
     rel = F.split_part(F.coalesce("deprel", F.lit("")), F.lit(":"), F.lit(1))
-    return w.select(*key, "id_start", "begin", "end", F.lower("form").alias("form"), *(F.coalesce(c, F.lit("_")).alias(c) for c in ("lemma", "upos", "xpos")), feats.alias("feats"), "head", rel.alias("deprel"), rel.isin(C.CONTENT).alias("content"), rel.isin(C.FUNCTIONAL).alias("function"))
+    return w.select(*key, "id_start", "begin", "end", "multi", F.lower("form").alias("form"), *(F.coalesce(c, F.lit("_")).alias(c) for c in ("lemma", "upos", "xpos")), feats.alias("feats"), "head", rel.alias("deprel"), rel.isin(C.CONTENT).alias("content"), rel.isin(C.FUNCTIONAL).alias("function"))
 
 
-def aligned(gold: DataFrame, system: DataFrame, key: list[str]) -> DataFrame:
-    """One row per pair of words with equal spans; columns g_* and s_*."""
+def aligned(gold: DataFrame, system: DataFrame, key: list[str], walked: DataFrame | None = None) -> DataFrame:
+    """One row per pair of aligned words; columns g_* and s_*. The sentences in ``walked`` (key..., pairs) have their
+    pairs of ids there, all others go by equal spans."""
     g = gold.select(*key, "begin", "end", *(F.col(c).alias(f"g_{c}") for c in gold.columns if c not in (*key, "begin", "end")))
     s = system.select(*key, "begin", "end", *(F.col(c).alias(f"s_{c}") for c in system.columns if c not in (*key, "begin", "end")))
-    return g.join(s, [*key, "begin", "end"])
+    if walked is None:
+        return g.join(s, [*key, "begin", "end"]).drop("begin", "end")
+    plain = g.join(walked.select(*key), key, "left_anti").join(s, [*key, "begin", "end"]).drop("begin", "end")
+    pairs = walked.select(*key, F.inline("pairs"))
+    return plain.unionByName(pairs.join(g.drop("begin", "end"), [*key, "g_id_start"]).join(s.drop("begin", "end"), [*key, "s_id_start"]))
+
+
+def walk(gold: list, system: list) -> list[tuple[int, int]]:
+    """Positions of the aligned words of a sentence, given as mappings with begin, end, form and multi.
+
+    Outside of multi-word tokens equal spans decide. Where a word of one is reached, the region lasts as long as words
+    of such tokens begin, or other words end, before its end; inside, a longest common subsequence of forms decides.
+    """
+    out, i, j = [], 0, 0
+    while i < len(gold) and j < len(system):
+        g, s = gold[i], system[j]
+        if not (g["multi"] or s["multi"]):
+            if (g["begin"], g["end"]) == (s["begin"], s["end"]):
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif g["begin"] <= s["begin"]:
+                i += 1
+            else:
+                j += 1
+            continue
+        end = g["end"] if g["multi"] else s["end"]
+        if g["multi"]:
+            j += not s["multi"] and s["begin"] < g["begin"]
+        else:
+            i += g["begin"] < s["begin"]
+        a, b = i, j
+        inside = lambda w, k: k < len(w) and (w[k]["begin"] < end if w[k]["multi"] else w[k]["end"] <= end)  # noqa: E731, B023
+        while inside(gold, i) or inside(system, j):
+            if i < len(gold) and (j >= len(system) or gold[i]["begin"] <= system[j]["begin"]):
+                x, i = gold[i], i + 1
+            else:
+                x, j = system[j], j + 1
+            end = max(end, x["end"]) if x["multi"] else end
+        out += [(a + x, b + y) for x, y in lcs_pairs([w["form"] for w in gold[a:i]], [w["form"] for w in system[b:j]])]
+    return out
+
+
+def _walked(gold: DataFrame, system: DataFrame, key: list[str]) -> DataFrame | None:
+    """(key..., pairs) of the sentences with a multi-word token on either side; None if there are none."""
+    multi = gold.where("multi").select(*key).unionByName(system.where("multi").select(*key)).distinct()
+    if multi.isEmpty():
+        return None
+    side = lambda x, n: x.join(multi, key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("id_start", "begin", "end", "form", "multi"))).alias(n))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pairs = [[{"g_id_start": int(g[i]["id_start"]), "s_id_start": int(s[j]["id_start"])} for i, j in walk(list(g), list(s))] for g, s in zip(b["g"], b["s"])]
+            yield b[key].assign(pairs=pairs)
+
+    sides = side(gold, "g").join(side(system, "s"), key)
+    names = ", ".join(f"`{k}` {gold.schema[k].dataType.simpleString()}" for k in key)
+    return materialize(sides.mapInPandas(run, f"{names}, pairs array<struct<g_id_start: int, s_id_start: int>>"), "walked")
 
 
 def _functional_children(w: DataFrame, key: list[str]) -> DataFrame:
@@ -43,8 +101,9 @@ def _functional_children(w: DataFrame, key: list[str]) -> DataFrame:
 def scores(gold_words: DataFrame, system_words: DataFrame, key: list[str]) -> DataFrame:
     """(metric, correct, gold_total, system_total, precision, recall, f1) of the eleven word metrics, in one aggregate per side."""
     g, s = materialize(prepared(gold_words, key), "gold"), materialize(prepared(system_words, key), "system")
+    walked = _walked(g, s, key)
     g, s = (x.join(_functional_children(x, key), [*key, "id_start"], "left").withColumn("kids", F.coalesce("kids", F.lit(""))) for x in (g, s))
-    a = materialize(aligned(g, s, key), "aligned")
+    a = materialize(aligned(g, s, key, walked), "aligned")
     # a system head counts as right if it is aligned with the gold head
     heads = a.select(*key, F.col("s_id_start").alias("s_head"), F.col("g_id_start").alias("_mapped"))
     a = a.join(heads, [*key, "s_head"], "left").withColumn("_mapped", F.when(F.col("s_head") == 0, 0).otherwise(F.col("_mapped")))

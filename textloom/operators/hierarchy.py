@@ -1,15 +1,15 @@
 """Parent-child links of unknown depth to roots, depths, paths and descendants.
 
 Partition-local chains are contracted to the node at which they leave the partition, the
-quotient forest of those exits is solved recursively, and the answers are expanded again.
+quotient forest of those exits is solved, and the answers are expanded again.
 
 * Rows are range-partitioned by (group, id): a thread stays together unless it is too large
   for one partition, in which case the range splits it. No task ever holds one whole group.
 * In a partition, pointer doubling over numpy arrays finds each node's local top, the steps to
   it, and local cycles.
 * A top whose parent lies in another partition becomes an edge of the quotient forest; that
-  forest is contracted again while it shrinks, solved in one task once it has at most
-  ``max_local`` rows, and by distributed pointer doubling if it neither shrinks nor fits.
+  forest is solved in one task if it has at most ``max_local`` rows, else by distributed
+  pointer doubling; it is not contracted again.
 * Cycles that cross partitions show up as cycles of the quotient; the fragments on them are
   solved again node by node.
 

@@ -1,23 +1,28 @@
 """Near-duplicate texts by the words they share, regardless of order.
 
 1. Words with repetition are a bag; texts with equal bags form a class and one of them goes on.
-2. A class gets a fingerprint of ``SEGMENTS`` 64-bit segments. A segment depends on ``ROWS`` min-wise
-   samples of the bag, so two bags of similarity s agree in a segment with probability s**ROWS, and
-   differ in about half of its bits otherwise.
-3. Pivot distance tables: of each segment, the Hamming distances to ``PIVOTS`` reference fingerprints
-   are computed once. By the triangle inequality two segments are at least as far apart as their
-   largest coordinate difference; pairs that differ in any coordinate of every table are discarded,
-   which an equi-join on the table's coordinates does without looking at pairs.
-4. Survivors are verified: first the Hamming distance of 128 one-bit samples, then the exact
-   similarity of the bags.
-
-With 48 segments of 6 samples a pair of similarity 0.7 is missed with probability 0.0025, one of 0.75
-with 0.0001, one of 0.8 with 5e-7. The 128-bit check lets a pair of 0.7 through up to 5 standard
-deviations. Nothing else is dropped: no bucket, class or number of partners is capped, and hot
-buckets are split by the skew handling of the sort-merge join.
-
-Defined cases: null texts and texts outside ``min_words`` .. ``max_words`` words have no partners;
-rows of an id count once per different text, and an id is no partner of itself; null ids are
+2. Pivot distance tables. A bag is a binary fingerprint over all words, and the Hamming distance of
+   two bags is the number of words that only one of them has. The words are hashed into ``BUCKETS``
+   buckets; the reference fingerprints are all unions of buckets. A bag's distance to a union follows from
+   its word count in each bucket, so ``BUCKETS`` numbers hold its distances to all 2**BUCKETS
+   references, and the largest coordinate difference of two bags is the sum of the absolute
+   differences of their counts. Bags of similarity s are at most (1 - s) / (1 + s) of their joint size
+   apart; by the triangle inequality a pair with a larger coordinate difference is discarded, without loss.
+   Counts are kept up to ``LEVELS`` in unary code, so the sum is one bit count; cutting them there
+   only loosens the bound.
+3. Pivot tables alone must look at every pair. Which pairs meet is therefore decided by banded MinHash: a
+   class has ``segments`` keys, each made of ``rows`` min-wise samples, and classes with a common
+   key meet in an equi-join whose condition is the pivot bound. With ``exact`` they meet instead on the
+   rare words that two similar bags must share (prefix filter), which finds every pair, at the price of many more
+   meetings.
+4. Survivors are verified by the exact similarity of the bags.
+
+With 48 keys of 6 samples a pair of similarity 0.7 does not meet with probability 0.0025, one of 0.75
+with 0.0001, one of 0.8 with 5e-7; with ``exact`` nothing is missed. No bucket, class or number of
+partners is capped, and hot keys are split by the skew handling of the sort-merge join.
+
+Defined cases: null texts, texts without words and texts outside ``min_words`` .. ``max_words`` words have no
+partners; an id with several texts has the partners of each, and is no partner of itself; null ids are
 ignored; copies are partners; empty tables give empty results; other columns are not read.
 """
 
@@ -26,6 +31,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +41,10 @@ from pyspark.sql import functions as F
 
 from textloom.session import materialize
 
-SEGMENTS, ROWS, PIVOTS, SKETCH_MAX = 48, 6, 16, 40
+SEGMENTS, ROWS = 48, 6
+BUCKETS, LEVELS = 64, 2
 WORD = re.compile(r"[^\W_]+")
 
-_rng = np.random.default_rng(20240607)
-_MUL = _rng.integers(1, 2**63, SEGMENTS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, SEGMENTS * ROWS, dtype=np.uint64)
-_JOIN = _rng.integers(1, 2**63, (SEGMENTS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PIVOT = _rng.integers(0, 2**63, (SEGMENTS, PIVOTS), dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, (SEGMENTS, PIVOTS), dtype=np.uint64)
-_COORD = _rng.integers(1, 2**63, (SEGMENTS, PIVOTS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
-
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in WORD.findall(text)]
@@ -62,86 +61,117 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def samples(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Min-wise samples of bags laid end to end: one row per bag, SEGMENTS * ROWS columns."""
-    v = ((elements[:, None] * _MUL[None, :] + _ADD[None, :]) >> np.uint64(32)).astype(np.uint32)
-    return np.minimum.reduceat(v, starts, axis=0)
-
-
-def segments(mins: np.ndarray) -> np.ndarray:
-    return _mix((mins.astype(np.uint64).reshape(len(mins), SEGMENTS, ROWS) * _JOIN).sum(axis=2))
+@lru_cache(8)
+def _factors(segments: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    r = np.random.default_rng(20240607)
+    mul = r.integers(1, 2**63, segments * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    add = r.integers(0, 2**63, segments * rows, dtype=np.uint64)
+    return mul, add, r.integers(1, 2**63, (segments, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def pivot_tables(seg: np.ndarray) -> np.ndarray:
-    """Hamming distances of each segment to its reference fingerprints: bags x SEGMENTS x PIVOTS."""
-    return np.bitwise_count(seg[:, :, None] ^ _PIVOT[None, :, :])
+def band_keys(elements: np.ndarray, starts: np.ndarray, segments: int = SEGMENTS, rows: int = ROWS) -> np.ndarray:
+    """Keys of bags laid end to end: one row per bag; each key is made of ``rows`` min-wise samples of its own."""
+    mul, add, join = _factors(segments, rows)
+    v = ((elements[:, None] * mul[None, :] + add[None, :]) >> np.uint64(32)).astype(np.uint32)
+    mins = np.minimum.reduceat(v, starts, axis=0)
+    return _mix((mins.astype(np.uint64).reshape(len(mins), segments, rows) * join).sum(axis=2)).view(np.int64)
 
 
-def table_keys(distances: np.ndarray) -> np.ndarray:
-    """One number for the coordinates of each table; the table's own factors keep tables apart."""
-    return _mix((distances.astype(np.uint64) * _COORD).sum(axis=2)).view(np.int64)
+def pivot_tables(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Words of each bag in each bucket: the coordinates from which its distances to all references follow."""
+    which = np.zeros(len(elements), np.int64)
+    which[starts[1:]] = 1
+    bag_no = np.cumsum(which)
+    place = (_mix(elements) >> np.uint64(40)).astype(np.int64) % BUCKETS
+    return np.bincount(bag_no * BUCKETS + place, minlength=len(starts) * BUCKETS).reshape(len(starts), BUCKETS)
 
 
-def sketches(mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = (mins[:, :128] & np.uint32(1)).astype(np.uint64)
-    return (low[:, :64] * _BITS).sum(axis=1).view(np.int64), (low[:, 64:] * _BITS).sum(axis=1).view(np.int64)
+def unary(tables: np.ndarray) -> np.ndarray:
+    """Tables cut at LEVELS in unary code, as LEVELS 64-bit numbers: bits that differ sum to a lower bound of the largest coordinate difference."""
+    return np.stack([((tables > k).astype(np.uint64) << np.arange(BUCKETS, dtype=np.uint64)).sum(axis=1) for k in range(LEVELS)], axis=1).view(np.int64)
 
 
 def _class_rows(lo: int, hi: int):
-    schema = pa.schema([("id", pa.string()), ("cls", pa.int64())])
+    schema = pa.schema([("id", pa.string()), ("h", pa.int64()), ("cls", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, cls = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, hs, cls = [], [], []
+            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 w = words(t)
                 if lo <= len(w) <= hi:
                     w.sort()
                     ids.append(i)
+                    hs.append(h)
                     cls.append(xxhash.xxh3_64_intdigest(" ".join(w)) - (1 << 63))
-            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(cls, pa.int64())], schema=schema)
+            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(hs, pa.int64()), pa.array(cls, pa.int64())], schema=schema)
 
     return run
 
 
-def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("cls", pa.int64()), ("bag", pa.list_(pa.string())), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
-    known: dict[str, int] = {}
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            bags = [bag(t) for t in part.column(1).to_pylist()]
-            if len(known) > 500_000:
-                known.clear()
-            flat = []
-            for x in bags:
-                for w in x:
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = xxhash.xxh3_64_intdigest(w)
-                    flat.append(h)
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in bags])[:-1]])
-            mins = samples(np.array(flat, np.uint64), starts)
-            s1, s2 = sketches(mins)
-            keys = table_keys(pivot_tables(segments(mins)))
-            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, SEGMENTS, dtype=np.int32), pa.array(keys.ravel()))
-            yield pa.record_batch([part.column(0), pa.array(bags, pa.list_(pa.string())), pa.array(s1), pa.array(s2), lists], schema=schema)
+def _signature_rows(segments: int, rows: int):
+    schema = pa.schema([("cls", pa.int64()), ("bag", pa.list_(pa.string())), ("n", pa.int32()), ("t1", pa.int64()), ("t2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                bags = [bag(t) for t in part.column(1).to_pylist()]
+                if len(known) > 500_000:
+                    known.clear()
+                flat = []
+                for x in bags:
+                    for w in x:
+                        h = known.get(w)
+                        if h is None:
+                            h = known[w] = xxhash.xxh3_64_intdigest(w)
+                        flat.append(h)
+                n = np.array([len(x) for x in bags], np.int32)
+                starts, elements = np.concatenate([[0], np.cumsum(n)[:-1]]), np.array(flat, np.uint64)
+                keys, t = band_keys(elements, starts, segments, rows), unary(pivot_tables(elements, starts))
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, segments, dtype=np.int32), pa.array(keys.ravel()))
+                yield pa.record_batch([part.column(0), pa.array(bags, pa.list_(pa.string())), pa.array(n), pa.array(t[:, 0]), pa.array(t[:, 1]), lists], schema=schema)
+
+    return run
 
 
-def members(rows: DataFrame, min_words: int = 30, max_words: int = 400) -> DataFrame:
-    """(id, cls): the class of each eligible text. rows: (id, body)."""
-    return rows.where("id is not null and body is not null").select("id", "body").mapInArrow(_class_rows(min_words, max_words), "id string, cls bigint").distinct()
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.where("id is not null and body is not null").select("id", F.xxhash64("body").alias("h"), "body")
 
 
-def class_links(rows: DataFrame, m: DataFrame, share: tuple[int, int] = (7, 10)) -> DataFrame:
-    """(a, b), a < b: classes whose bags agree to at least ``share``."""
-    reps = m.groupBy("cls").agg(F.min("id").alias("id"))
-    texts = reps.join(rows.select("id", "body").where("body is not null"), "id").select("cls", "body")
-    sig = materialize(texts.mapInArrow(_signature_rows, "cls bigint, bag array<string>, s1 bigint, s2 bigint, keys array<bigint>"), "signatures")
-    table = sig.select(F.explode("keys").alias("key"), "cls", "s1", "s2")
+def members(rows: DataFrame, min_words: int = 30, max_words: int = 400) -> DataFrame:
+    """(id, h, cls): the class of each eligible text; h tells the texts of one id apart. rows: (id, body)."""
+    return _texts(rows).mapInArrow(_class_rows(max(1, min_words), max_words), "id string, h bigint, cls bigint").distinct()
+
+
+def _rare_words(sig: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(key, cls): of each bag its rarest words, as many as make sure that two bags of similarity ``share`` have one in common."""
+    each = sig.select("cls", F.explode("bag").alias("word"))
+    n = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"])
+    ranked = each.join(n, "word").groupBy("cls").agg(order.alias("bag"))  # a bag has at most max_words words
+    size = F.size("bag")
+    keep = size - F.ceil(size * share[0] / share[1] - F.lit(1e-9)) + 1
+    return ranked.select("cls", F.explode(F.slice("bag", F.lit(1), keep.cast("int"))).alias("word")).select(F.xxhash64("word").alias("key"), "cls")
+
+
+def class_links(rows: DataFrame, m: DataFrame, share: tuple[int, int] = (7, 10), segments: int = SEGMENTS, samples: int = ROWS, exact: bool = False) -> DataFrame:
+    """(a, b, similarity), a < b: classes whose bags agree to at least ``share``."""
+    reps = m.groupBy("cls").agg(F.min(F.struct("id", "h")).alias("r")).select("cls", "r.id", "r.h")
+    texts = reps.join(_texts(rows), ["id", "h"]).select("cls", "body")
+    sig = materialize(texts.mapInArrow(_signature_rows(segments, samples), "cls bigint, bag array<string>, n int, t1 bigint, t2 bigint, keys array<bigint>"), "signatures")
+    if exact:
+        one = sig.dropDuplicates(["cls"])
+        table = _rare_words(one, share).join(one.select("cls", "n", "t1", "t2"), "cls").select("key", "cls", "n", "t1", "t2")
+    else:
+        table = sig.select(F.explode("keys").alias("key"), "cls", "n", "t1", "t2")
     a, b = table.alias("a"), table.alias("b")
-    near = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2"))) <= SKETCH_MAX
-    pairs = materialize(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & near).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct(), "candidates")
+    apart = F.bit_count(F.col("a.t1").bitwiseXOR(F.col("b.t1"))) + F.bit_count(F.col("a.t2").bitwiseXOR(F.col("b.t2")))
+    size, least, most = F.col("a.n") + F.col("b.n"), F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    near = (apart * (share[1] + share[0]) <= size * (share[1] - share[0])) & (least * share[1] >= most * share[0])
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & near)
+    pairs = materialize(met.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct(), "candidates")
     bags = sig.select("cls", "bag").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").dropDuplicates(["cls"])
     both = pairs.join(bags.select(F.col("cls").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("cls").alias("b"), F.col("bag").alias("bag_b")), "b")
     common = F.size(F.array_intersect("bag_a", "bag_b"))
@@ -149,11 +179,12 @@ def class_links(rows: DataFrame, m: DataFrame, share: tuple[int, int] = (7, 10))
     return materialize(counted.where(F.col("common") * share[1] >= F.col("either") * share[0]).select("a", "b", (F.col("common") / F.col("either")).alias("similarity")), "links")
 
 
-def similar_pairs(rows: DataFrame, **kw) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of similar texts, copies included."""
-    m = materialize(members(rows, **kw), "members")
-    links = class_links(rows, m)
-    x, y = m.select(F.col("cls").alias("a"), F.col("id").alias("x")), m.select(F.col("cls").alias("b"), F.col("id").alias("y"))
+def similar_pairs(rows: DataFrame, min_words: int = 30, max_words: int = 400, **kw) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of similar texts, copies included. Further arguments as of :func:`class_links`."""
+    m = materialize(members(rows, min_words, max_words), "members")
+    links = class_links(rows, m, **kw)
+    own = m.select("id", "cls").distinct()
+    x, y = own.select(F.col("cls").alias("a"), F.col("id").alias("x")), own.select(F.col("cls").alias("b"), F.col("id").alias("y"))
     across = links.join(x, "a").join(y, "b").select("x", "y")
     inside = x.join(y, F.col("a") == F.col("b")).select("x", "y").where("x < y")
     every = across.unionByName(inside).where("x <> y")
@@ -183,10 +214,11 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("a").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def groups(rows: DataFrame, **kw) -> DataFrame:
+def groups(rows: DataFrame, min_words: int = 30, max_words: int = 400, **kw) -> DataFrame:
     """One row per eligible text: (id, class_id, group_id, class_size, links). ``links`` counts the other classes it is similar to."""
-    m = materialize(members(rows, **kw), "members")
-    links = class_links(rows, m)
+    m = materialize(members(rows, min_words, max_words), "members")
+    links = class_links(rows, m, **kw)
+    m = m.select("id", "cls").distinct()
     root = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     size = m.groupBy("cls").agg(F.count(F.lit(1)).alias("class_size"))

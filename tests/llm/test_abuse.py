@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from textloom.llm import abuse as A
+from textloom.llm import lookalikes as L
 
 TERMS = [("moron", "abusive", 2), ("shut up", "abusive", 1), ("grobbling", "hateful", 3), ("smut", "sexual", 2), (None, "abusive", 1), ("kill", "abusive", 1)]
 THINGS = ["lamp", "desk", "query", "garden", "novel", "engine", "ticket", "river"]
@@ -49,8 +50,8 @@ def test_gradient_of_pairs_is_the_pairwise_sum():
 
 
 @pytest.mark.parametrize("masked", ["m0r0n", "M O R O N", "mooooron", "mоron", "m***n", "mo​ron", "ｍｏｒｏｎ"])
-def test_masks(masked):
-    reader = A.Reader(TERMS)
+def test_masks(spark, masked):
+    reader = A.Reader(TERMS, L.confusables(spark))
     lex = A.lexicon_feature("abusive", 2)
     assert any(lex in s for s in reader.sentences(f"you {masked} there"))
     assert not any(lex in s for s in reader.sentences("you more on there"))

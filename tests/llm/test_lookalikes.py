@@ -1,6 +1,7 @@
 import unicodedata
 
-from hypothesis import given, settings
+import pytest
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from textloom.llm import lookalikes as L
@@ -12,22 +13,41 @@ CASES = {
 PLAIN = ["résumé", "Вчера наш черновик", "“quoted”", "20 – 4", "one\ntwo\tthree", "🤷‍♂️ ok", "👨‍💻", "1️⃣", "你好，世界！", "", "ﾊ", "GPTшный"]
 
 
-def test_cases():
+# every one of these looks like ordinary text and has to change
+DISGUISED = {"ɡpt": "gpt", "ıt": "it", "Ꮯhat": "Chat", "ᴄhat": "chat", "ℂhat": "Chat", "𝐠pt": "gpt", "ⓖpt": "gpt", "ғoo": "roo", "whаtеvжr": "whatevжr", "Ιt": "It", "ОK": "OK"}
+
+
+@pytest.fixture(scope="module")
+def looks(spark):
+    return L.Looks(L.confusables(spark))
+
+
+def test_cases(looks):
     for t, (form, why) in CASES.items():
-        assert L.consistent(t) == (form, {why}), t
-    for t in PLAIN:
-        assert L.consistent(t) == (t, frozenset()), t
-    assert L.consistent(None) == (None, frozenset())
+        assert looks.consistent(t) == (form, {why}), t
+    for t in [*PLAIN, "łódź", "ładny", "Straße", "œuvre", "æther", "øl", "x² ™ 10µm ªº", "ChatGPTшный", "çok altı", "ⅳ", "ℹ️"]:
+        assert looks.consistent(t) == (t, frozenset()), t
+    for t, form in DISGUISED.items():
+        assert looks.consistent(t)[0] == form, t
+    assert looks.consistent(None) == (None, frozenset())
+
+
+def test_skeletons(looks):
+    same = [("rnodern", "modern"), ("ɡpt", "gpt"), ("ıt", "it"), ("Ꮯhat", "Chat"), ("ᴄhat", "chat"), ("ℂhat", "Chat"), ("𝐠pt", "gpt"), ("ⓖpt", "gpt"), ("Ɩ", "l"), ("1l", "Il"), ("café", "café"), ("ex\u200bit", "exit"), ("vvord", "vvord"), ("ｍ", "rn")]
+    for a, b in same:
+        assert looks.skeleton(a) == looks.skeleton(b), (a, b)
+    assert looks.skeleton("gpt") != looks.skeleton("qpt") and looks.skeleton(None) is None and looks.skeleton("") == ""
+    assert 4000 < len(looks.table) < 20000
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from("aеο‍️́ｌ♂👨‑ ")), max_size=30))
-def test_consistent_is_stable(t):
-    form, _ = L.consistent(t)
-    again, _ = L.consistent(form)
-    assert L.consistent(again)[0] == again
-    s = L.skeleton(t)
-    assert unicodedata.is_normalized("NFD", s) or t.isascii()
+def test_consistent_is_stable(looks, t):
+    form, _ = looks.consistent(t)
+    again, _ = looks.consistent(form)
+    assert looks.consistent(again)[0] == again
+    s = looks.skeleton(t)
+    assert unicodedata.is_normalized("NFD", s)
 
 
 def test_tables(spark):
@@ -38,3 +58,6 @@ def test_tables(spark):
     assert L.changed_fields(df.limit(0)).count() == 0
     names = spark.createDataFrame([("gpt",), ("ｇｐt",), ("gpt",), ("gрt",), (None,), ("x",)], "name string")
     assert {(r.skeleton, r.original, r.n, r.variants) for r in L.skeleton_groups(names, "name").collect()} == {("gpt", "gpt", 2, 3), ("gpt", "ｇｐt", 1, 3), ("gpt", "gрt", 1, 3), ("x", "x", 1, 1)}
+    bodies = spark.createDataFrame([("Use modern GPT",), ("use ｍodern gрt",), ("plain plain",), (None,), ("",)], "body string")
+    got = {(r.original, r.variants) for r in L.word_groups(bodies, "body").collect()}
+    assert got == {("modern", 2), ("ｍodern", 2), ("gpt", 2), ("gрt", 2)}

@@ -50,7 +50,8 @@ def _squeeze(w: str) -> str:
 class Reader:
     """Sentences as lists of feature numbers."""
 
-    def __init__(self, terms: list[tuple[str, str, int]]) -> None:
+    def __init__(self, terms: list[tuple[str, str, int]], table: dict[str, str] | None = None) -> None:
+        self.looks = L.Looks(table or {})
         self.terms = {}
         for term, category, severity in terms:
             if term and category in CATEGORIES:
@@ -96,7 +97,7 @@ class Reader:
         return sorted(out)
 
     def sentences(self, text: str) -> list[list[int]]:
-        t = L.consistent(text)[0].lower()
+        t = self.looks.consistent(text)[0].lower()
         t = _SPACED.sub(lambda m: re.sub(r"[ ._*-]", "", m.group()), t)
         return [f for f in map(self.features, _SENTENCE.split(t)) if f]
 
@@ -236,7 +237,7 @@ def train(entries: DataFrame, labels: DataFrame, terms: DataFrame, per_label: in
     rows = [tuple(r) for r in terms.select("term", "category", "severity").where("term is not null").limit(most_terms + 1).collect()]
     if len(rows) > most_terms:
         raise ValueError(f"the term list has more than {most_terms} rows; it is broadcast and must be smaller")
-    reader, machine = Reader(rows), Machine()
+    reader, machine = Reader(rows, L.confusables(entries.sparkSession)), Machine()
     sample = labelled_sample(_comments(entries).where("body is not null").select("id", "body"), labels, per_label)
     if sample:
         y = np.array([[label == c for c in CATEGORIES] for _, label in sample], np.float32)
@@ -246,10 +247,10 @@ def train(entries: DataFrame, labels: DataFrame, terms: DataFrame, per_label: in
 
 def _score(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bias, linear, factors, terms = shared.value
+        bias, linear, factors, terms, table = shared.value
         m = Machine()
         m.bias, m.linear, m.factors = bias, linear, factors
-        reader = Reader(terms)
+        reader = Reader(terms, table)
         for b in batches:
             for at in range(0, len(b), 1000):
                 part = b.iloc[at : at + 1000]
@@ -264,7 +265,7 @@ def _score(shared):
 def scores(entries: DataFrame, labels: DataFrame, terms: DataFrame, per_label: int = 3000, threshold: float = 0.5) -> DataFrame:
     """Every comment once: (id, subreddit, abusive, hateful, sexual, category), category null below the threshold."""
     machine, rows = train(entries, labels, terms, per_label)
-    shared = entries.sparkSession.sparkContext.broadcast((machine.bias, machine.linear, machine.factors, rows))
+    shared = entries.sparkSession.sparkContext.broadcast((machine.bias, machine.linear, machine.factors, rows, L.confusables(entries.sparkSession)))
     scored = _comments(entries).mapInPandas(_score(shared), "id string, subreddit string, abusive double, hateful double, sexual double")
     one = scored.groupBy("id").agg(F.min("subreddit").alias("subreddit"), *(F.max(c).alias(c) for c in CATEGORIES))
     best = F.greatest(*CATEGORIES)

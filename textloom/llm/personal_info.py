@@ -20,7 +20,6 @@ report; an empty name list leaves the other kinds working; other columns are not
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -250,7 +249,8 @@ _PAIRS = tuple(f"{i:02d}" for i in range(100))
 class Finder:
     """The automaton over all anchors, and the parser of each."""
 
-    def __init__(self, names: list[tuple[str, str]]) -> None:
+    def __init__(self, names: list[tuple[str, str]], table: dict[str, str] | None = None) -> None:
+        self.looks = L.Looks(table or {})
         cues: dict[str, list] = defaultdict(list)
         for x in ("@",):
             cues[x].append(("email", email_at_sign))
@@ -287,7 +287,7 @@ class Finder:
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(begin, end, kind) in order, without overlaps."""
-        t, at = _readable(text)
+        t, at = self.looks.aligned(text)
         low = t.lower()
         if len(low) != len(t):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
@@ -343,23 +343,9 @@ class Finder:
         return "".join([*out, text[last:]]), sorted({k for _, _, k in spans})
 
 
-def _readable(text: str) -> tuple[str, list[int] | None]:
-    """The text with look-alike characters replaced, and each character's place in the original."""
-    if text.isascii() or L.consistent(text)[0] == text:
-        return text, None
-    chars, at = [], []
-    for i, c in enumerate(text):
-        if L._INVISIBLE.match(c):
-            continue
-        flat = " " if L._SPACE.match(c) else "-" if L._HYPHEN.match(c) else unicodedata.normalize("NFKC", c) if L._WIDE.match(c) else c
-        chars.append(flat)
-        at += [i] * len(flat)
-    return L._WORD.sub(L._word, "".join(chars)), at
-
-
-def _rows(names, keep_text: bool):
+def _rows(shared, keep_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = Finder(names.value)
+        f = Finder(*shared.value)
         for b in batches:
             done = [[f.redact(x) for x in b[c]] for c in FIELDS]
             out = {"id": b["id"]}
@@ -381,15 +367,17 @@ def _names(name_parts: DataFrame, most: int) -> list[tuple[str, str]]:
 
 def redacted(entries: DataFrame, name_parts: DataFrame, most_names: int = 200_000) -> DataFrame:
     """Every row's two texts with placeholders, and the kinds found in each."""
-    names = entries.sparkSession.sparkContext.broadcast(_names(name_parts, most_names))
+    spark = entries.sparkSession
+    shared = spark.sparkContext.broadcast((_names(name_parts, most_names), L.confusables(spark)))
     schema = "id string, " + ", ".join(f"{c}_redacted string, {c}_kinds array<string>" for c in FIELDS)
-    return entries.select("id", *FIELDS).mapInPandas(_rows(names, True), schema)
+    return entries.select("id", *FIELDS).mapInPandas(_rows(shared, True), schema)
 
 
 def found(entries: DataFrame, name_parts: DataFrame, most_names: int = 200_000) -> DataFrame:
     """(id, field, kind), once each."""
-    names = entries.sparkSession.sparkContext.broadcast(_names(name_parts, most_names))
+    spark = entries.sparkSession
+    shared = spark.sparkContext.broadcast((_names(name_parts, most_names), L.confusables(spark)))
     schema = "id string, " + ", ".join(f"{c}_kinds array<string>" for c in FIELDS)
-    k = entries.where("id is not null").select("id", *FIELDS).mapInPandas(_rows(names, False), schema)
+    k = entries.where("id is not null").select("id", *FIELDS).mapInPandas(_rows(shared, False), schema)
     fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"{c}_kinds").alias("kinds")) for c in FIELDS))
     return k.where(" or ".join(f"size({c}_kinds) > 0" for c in FIELDS)).select("id", F.explode(fields).alias("f")).select("id", "f.field", F.explode("f.kinds").alias("kind")).distinct()

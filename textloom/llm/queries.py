@@ -55,6 +55,11 @@ def p2_model_groups(spark, sf_dir):
     return lookalikes.skeleton_groups(names, "name")
 
 
+@query("p2_word_groups")
+def p2_word_groups(spark, sf_dir):
+    return lookalikes.word_groups(table(spark, sf_dir, "entries"), "body")
+
+
 @query("p8_ids")
 def p8_ids(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"))

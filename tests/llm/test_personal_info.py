@@ -7,7 +7,12 @@ from textloom.llm import personal_info as P
 HEADS, TAILS = ("Bremm", "Crald", "Dask", "Ferrl"), ("hurst", "more", "berg", "stead")
 NAMES = [(h + t, "surname") for h in HEADS for t in TAILS if (h, t) != ("Dask", "berg")] + [("Baker", "surname"), ("Page", "surname")]
 NAMES += [(h + t, "given") for h in ("Ari", "Dor", "Lun", "Kas") for t in ("anda", "eth", "ona", "wick")] + [("Will", "given"), ("Mark", "given"), ("Grant", "given")]
-F = P.Finder(NAMES)
+PROSE = """the build is out and it works for me while my friends say that their tests pass on every machine they have. we will mark
+the page with a note about what the baker said when he made the bread, then grant access to those who will need it for some time.
+you can page through the prompt to see how a model will answer a careful question in a quick way; mark it up, ask it, read it again.
+people who write about the work of others should say so, because will power alone does not mark a good writer nor grant a prize."""
+WORDS, _ = P.statistics_of([PROSE] * 5, NAMES)
+F = P.Finder(NAMES, None, WORDS)
 
 CASES = [
     ("Mail me at a.b+c09@mail.example.test, thanks.", "Mail me at [EMAIL], thanks.", ["email"]),
@@ -32,10 +37,18 @@ CASES = [
     ("signed, Craldmore, Lunona", "signed, [NAME]", ["name"]),
     ("Dr. Ferrlstead said", "[NAME] said", ["name"]),
     ("my name is will baker.", "my name is [NAME].", ["name"]),
+    ("Please contact John Smith or Maria Garcia", "Please contact [NAME] or [NAME]", ["name"]),
+    ("My name is Priya Raman", "My name is [NAME]", ["name"]),
+    ("Dr. Okonkwo said so", "[NAME] said so", ["name"]),
+    ("Mr. Smith lives at 12 Oak Street", "[NAME] lives at [ADDRESS]", ["address", "name"]),
+    ("a" * 81 + "@x.com", "[EMAIL]", ["email"]),
+    ("to " + "b.c+" * 60 + "d@x.example.com now", "to [EMAIL] now", ["email"]),
+    ("passport no." + " " * 90 + "X1234567 x", "passport no." + " " * 90 + "[ID_NUMBER] x", ["id_number"]),
+    ("at 12 " + "Verylong" * 12 + " Street, ok", "at [ADDRESS], ok", ["address"]),
 ]
 PLAIN = [
     "Install numkit@0.7.59 first.", "Meet @ noon, then a 24 hour drive.", "no dr@vscum here", "ISBN 000-0-00-444964-0 is gone", "Ticket 4866-40826 is open", "Seed 1145403128 gives", "The build 2024-09-18 broke", "version 10.0.378.24",
-    "Road to 47 prompts, avenue by avenue.", "a two way street of ideas", "My name is on the list, sadly.", "Mark up the text, Grant access", "the baker will page me", "u/rapid-willow, will do.", "Kasona G. wrote", "It cost 1,222.50 for 397717 tokens", "look at the dot", "Error code 0x264278 at line 3892.", "What a GPT-4 careful way to go", "What a gpt 4 quick way to go",
+    "Road to 47 prompts, avenue by avenue.", "a two way street of ideas", "My name is on the list, sadly.", "Mark up the text, Grant access", "the baker will page me", "u/rapid-willow, will do.", "Kasona G. wrote", "It cost 1,222.50 for 397717 tokens", "look at the dot", "Error code 0x264278 at line 3892.", "What a GPT-4 careful way to go", "What a gpt 4 quick way to go", "I use MS Word daily", "with Fane Pro it works", "Two Words here and There",
 ]
 
 
@@ -50,8 +63,31 @@ def test_left_alone(text):
     assert F.redact(text) == (text, [])
 
 
-def test_look_alike_characters_keep_the_rest():
-    assert F.redact("ﬁne: my SSN is 919‑69‑7847 ​ｏk")[0] == "ﬁne: my SSN is [ID_NUMBER] ​ｏk"
+def test_spelling_is_learned_from_the_list():
+    n = P.Names(NAMES, WORDS)
+    for k in n.known:
+        held = [w for w in sorted(n.known[k]) if len(w) > 5]
+        hits = 0
+        for w in held:  # each name is judged by the others
+            hits += P.Spelling(n.known[k] - {w}, list(n.ordinary)).odds(w) >= n.least
+        assert hits >= 0.9 * len(held), k
+        full = P.Spelling(n.known[k], list(n.ordinary))
+        assert not [w for w in n.ordinary if w not in n.known[k] and full.odds(w) >= n.least]
+    assert P.Names(NAMES).strength("Daskberg", "surname") == ""  # without a corpus only listed names are known
+
+
+def test_context_is_learned_from_listed_names():
+    given, surname = [x for x, k in NAMES if k == "given"], [x for x, k in NAMES if k == "surname"]
+    texts = [f"yesterday the plumber {g} {s} fixed it" for g, s in zip(given, surname, strict=False)] + [PROSE] * 5
+    words, beside = P.statistics_of(texts, NAMES)
+    f = P.Finder(NAMES, None, words, beside)
+    assert f.redact("so the plumber Anna Kowal fixed it") == ("so the plumber [NAME] fixed it", ["name"])
+    assert f.redact("they will page us")[1] == [] and f.redact("we use Anna Kowal here")[1] == []
+
+
+def test_look_alike_characters_keep_the_rest(spark):
+    f = P.Finder(NAMES, P.L.confusables(spark), WORDS)
+    assert f.redact("ﬁne: my SSN is 919‑69‑7847 ​ｏk")[0] == "ﬁne: my SSN is [ID_NUMBER] ​ｏk"
 
 
 @settings(max_examples=200, deadline=None)

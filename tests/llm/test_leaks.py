@@ -22,9 +22,29 @@ def test_against_brute_force(spark):
     di = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, item_id bigint")
     ii = spark.createDataFrame([(*x, "A", 5) for x in items], "item_id bigint, text string, answer string, doc_id bigint")
     assert want and {tuple(x) for x in L.leaked_items(di, ii).collect()} == want
-    assert {tuple(x) for x in L.leaked_items(di, ii, block_chars=200).collect()} == want
+    assert {tuple(x) for x in L.leaked_items(di, ii, block_words=60).collect()} == want
     by = dict(docs)
     for s in L.leaked_spans(di, ii).collect():
         assert len(L.words(by[s.doc_id][s.begin : s.end])) == s.words >= 13
     assert L.leaked_items(di.limit(0), ii).count() == 0
     assert L.leaked_items(di, ii.limit(0)).count() == 0
+
+
+def test_questions_and_answers():
+    q = " ".join(f"q{i}" for i in range(15))
+    long = " ".join(f"a{i}" for i in range(14))
+    b = L.Block([(1, q, "Blue fish"), (2, None, long), (3, q + " more", None), (4, q, "answer me")], 13)
+    def got(t):
+        return {(i, f, t[x:y], n, done) for i, f, x, y, n, done in b.spans(t)}
+    assert got(f"so: {q}... blue FISH!") == {(1, "text", q, 15, True), (3, "text", q, 15, False), (4, "text", q, 15, False)}
+    assert (1, "text", q, 15, True) in got(f"{q}? Answer: blue fish")
+    assert (4, "text", q, 15, True) in got(f"{q} answer me") and (1, "text", q, 15, False) in got(f"{q} red fish")
+    assert got(f"x {long.upper()} y") == {(2, "answer", long.upper(), 14, False)}
+    assert got("blue fish " * 20) == set() and L.Block([], 13).spans(q) == []
+
+
+def test_a_worker_keeps_its_automaton(spark):
+    q = " ".join(f"q{i}" for i in range(15))
+    docs = spark.createDataFrame([(i, q) for i in range(40)], "doc_id bigint, text string").repartition(8)
+    items = spark.createDataFrame([(1, q, None)], "item_id bigint, text string, answer string")
+    assert L.leaked_items(docs, items).count() == 40

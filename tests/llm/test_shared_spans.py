@@ -38,15 +38,33 @@ def test_against_brute_force(spark, monkeypatch):
     assert len(report) == len(docs) and report[52] == report[53] == 0
 
 
+def test_tokens_against_brute_force(spark):
+    r = random.Random(6)
+    words = lambda n: [r.choice(["a", "bé", "😀", "the", "x1"]) + str(r.randint(0, 3)) for _ in range(n)]
+    shared = [words(n) for n in (19, 20, 33)]
+    docs = [(i, words(r.randint(0, 30)) + [w for _ in range(r.randint(0, 2)) for w in r.choice(shared) + words(2)] + words(5)) for i in range(40)] + [(50, ["a"] * 60), (51, ["a"] * 25)]
+    want = {d: len(x) for d, x in brute([(d, tuple(x)) for d, x in docs], 20).items()}
+    df = spark.createDataFrame([(i, r.choice([" ", "\n", " \t"]).join(x)) for i, x in docs] + [(60, None)], "doc_id bigint, text string")
+    got = {x.doc_id: (x.tokens, x.shared_tokens) for x in S.shared_tokens(df, 20).collect()}
+    by = dict(docs)
+    assert got == {d: (len(by[d]), n) for d, n in want.items()} and got
+
+
 def test_long_texts_are_cut_into_overlapping_pieces(monkeypatch):
     monkeypatch.setattr(S, "_PIECE", 600)
     r = random.Random(1)
     t = "".join(r.choice("abcdefgh") for _ in range(3000))
-    lots = [x for lot in S._pieces([t, "", "abc"], 250) for x in lot]
-    assert {o + k for i, o, p in lots if i == 0 for k in range(len(p) - 249)} == set(range(2751))
-    h = S.window_hashes(np.frombuffer(t.encode("utf-32-le"), np.uint32), 250)
-    again = S.window_hashes(np.frombuffer(t[100:].encode("utf-32-le"), np.uint32), 250)
-    assert (h[100:] == again).all() and len(set(h.tolist())) == len(h)
+    short = t[700:1100]
+    whole = S.window_hashes(np.frombuffer(t.encode("utf-32-le"), np.uint32), 250)
+    anchors = S.window_anchors(np.frombuffer(t.encode("utf-32-le"), np.uint32), 250)
+    seen = {}
+    for codes, at, doc, start in S._lots([t, "", "abc", short], S._units(S.CHARS), 250):
+        assert len(codes) <= 600
+        for k, (a, d, s) in enumerate(zip(at, doc, start, strict=True)):
+            seen[d, s] = (S.window_hashes(codes, 250)[a], S.window_anchors(codes, 250)[a])
+    assert {s for d, s in seen if d == 0} == set(range(2751)) and {s for d, s in seen if d == 3} == set(range(151))
+    assert all(seen[0, s] == (whole[s], anchors[s]) and (s > 150 or seen[3, s] == (whole[s + 700], anchors[s + 700])) for s in range(2751))
+    assert len(set(whole.tolist())) == len(whole)
 
 
 def test_empty(spark):

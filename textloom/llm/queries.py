@@ -85,6 +85,11 @@ def p10_report(spark, sf_dir):
     return shared_spans.shared_report(table(spark, sf_dir, "documents"))
 
 
+@query("p10_tokens")
+def p10_tokens(spark, sf_dir):
+    return shared_spans.shared_tokens(table(spark, sf_dir, "documents"))
+
+
 @query("p10_intervals")
 def p10_intervals(spark, sf_dir):
     return shared_spans.removal_intervals(table(spark, sf_dir, "documents"))

@@ -1,37 +1,42 @@
-"""Long spans that occur verbatim in more than one document.
+"""Long spans that occur verbatim in more than one document, in code points or in tokens.
 
 1. Whole copies are grouped by a digest of the text. A copy's full text is shared; only one
    representative of a group goes on.
-2. Rabin-Karp hashes of every short window are thinned to anchors by winnowing: among any
-   ``ROUNDS`` = 2**7 consecutive short windows at least one anchor is chosen, by content alone, so a
-   shared span of ``length`` code points has the same anchor in both documents. Anchors are counted
-   in Spark; text around an anchor that only one document has cannot be shared.
-3. In the remaining ranges the Rabin-Karp hash of every window of ``length`` code points is counted
-   (smallest and largest document per hash, combined before the shuffle), and the windows that two
-   documents have are merged into maximal intervals.
+2. Every window of ``length`` units holds exactly one run of 2**rounds shorter windows. Its anchor is the
+   smallest Rabin-Karp hash in that run (winnowing), so equal windows have equal anchors, wherever they stand.
+   Anchors are counted in Spark; a window whose anchor only one document has occurs once and is left out.
+3. Of the other windows the Rabin-Karp hash over ``length`` units is counted in Spark (smallest and
+   largest document per hash, combined before the shuffle), and the windows that two documents have merge into
+   maximal removal intervals.
 
-Nothing is capped: the anchors only leave out windows that provably occur once. Hashes have 62 bits
-(two primes), documents 64-bit identities.
+Nothing is capped: the anchors only leave out windows that provably occur once. A window is known by 93 bits (three
+primes), so that even 1e14 windows have about one false match; documents are told apart by 64 bits, where
+a collision could only hide spans that no third document has. Token windows use 32 bits a token.
 
 Defined cases: null texts and texts shorter than ``length`` share nothing; a span repeated within
-one document only is not shared; copies under different ids share all of their text; extra columns
-are not read; empty tables give empty results. Very long texts are hashed in overlapping pieces.
+one document only is not shared; copies under different ids share all of their text; a token is a maximal run of
+characters other than ASCII white space; extra columns are not read; empty tables give empty results. Very long
+texts are hashed in overlapping pieces.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.session import materialize
 
-ROUNDS = 7
-_PRIMES = (2_147_483_647, 2_147_483_629)
-_BASES = (1_000_003, 918_273_645)
+CHARS, TOKENS = "chars", "tokens"
+_PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587)
+_BASES = (1_000_003, 918_273_645, 555_555_557)
+_TOKEN = r"[^ \t\n\r\f\x0B]+"
 _PIECE = 1 << 19
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
@@ -48,18 +53,32 @@ def _power_table(p: int, base: int, n: int) -> np.ndarray:
     return t[:n]
 
 
-def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """Rabin-Karp hash of every window of ``size`` code points, independent of its position."""
+def _window_hash(codes: np.ndarray, size: int, k: int) -> np.ndarray:
     n = len(codes) - size + 1
-    if n <= 0:
+    p, base = _PRIMES[k], _BASES[k]
+    up, down = _power_table(p, base, len(codes)), _power_table(p, pow(base, -1, p), n)
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(codes * up % p)])
+    return (total[size:] - total[:n]) % p * down % p
+
+
+def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """62-bit Rabin-Karp hash of every window of ``size`` units, independent of its position."""
+    if len(codes) < size:
         return np.zeros(0, np.int64)
-    out = np.zeros(n, np.int64)
-    c = codes.astype(np.int64) + 1
-    for p, base in zip(_PRIMES, _BASES, strict=True):
-        up, down = _power_table(p, base, len(c)), _power_table(p, pow(base, -1, p), n)
-        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(c * up % p)])
-        out = (out << 31) | ((total[size:] - total[:n]) % p * down % p)
-    return out
+    c = codes.astype(np.int64) % (1 << 31) + 1
+    return (_window_hash(c, size, 0) << 31) | _window_hash(c, size, 1)
+
+
+def check_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """31 more bits of the same windows."""
+    if len(codes) < size:
+        return np.zeros(0, np.int32)
+    return _window_hash(codes.astype(np.int64) + 1, size, 2).astype(np.int32)
+
+
+def rounds_of(length: int) -> int:
+    """The run of shorter windows in a window has 2**rounds of them, about half its length."""
+    return max(0, math.floor(math.log2(max(1, length * 0.52))))
 
 
 def _slide(x: np.ndarray, op, rounds: int) -> np.ndarray:
@@ -68,119 +87,136 @@ def _slide(x: np.ndarray, op, rounds: int) -> np.ndarray:
     return x
 
 
-def anchors(codes: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-    """Positions chosen by winnowing; ``ends`` are the ends of the texts joined in ``codes``."""
-    h = window_hashes(codes, size)
-    top = np.iinfo(np.int64).max
-    cross = (ends[:, None] - np.arange(1, size)[None, :]).ravel()
-    h[cross[(cross >= 0) & (cross < len(h))]] = top
-    span = 1 << ROUNDS
-    padded = np.concatenate([np.full(span - 1, top), h, np.full(span - 1, top)])
-    least = _slide(padded, np.minimum, ROUNDS)
-    chosen = _slide(np.where(least == top, -1, least), np.maximum, ROUNDS) == h
-    return np.flatnonzero(chosen & (h != top)), h
+def window_anchors(codes: np.ndarray, length: int) -> np.ndarray:
+    """The anchor of every window of ``length`` units."""
+    r = rounds_of(length)
+    return _slide(window_hashes(codes, length - (1 << r) + 1), np.minimum, r)
 
 
-def _pieces(texts: list[str], length: int) -> Iterator[list[tuple[int, int, str]]]:
-    """(text, offset, piece) in lots of about _PIECE code points; pieces overlap by length - 1."""
-    lot, n = [], 0
-    for i, t in enumerate(texts):
-        at = 0
-        while True:
-            piece = t[at : at + _PIECE]
-            if n and n + len(piece) > _PIECE:
-                yield lot
-                lot, n = [], 0
-            lot.append((i, at, piece))
-            n += len(piece)
-            if at + _PIECE >= len(t):
-                break
-            at += _PIECE - length + 1
-    if lot:
-        yield lot
+def _units(unit: str):
+    """Text to an array of 32-bit units."""
+    if unit == CHARS:
+        return lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    find, known = re.compile(_TOKEN).findall, {}
+
+    def tokens(t: str) -> np.ndarray:
+        out = []
+        for w in find(t):
+            h = known.get(w)
+            if h is None:
+                if len(known) > 500_000:
+                    known.clear()
+                h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
+            out.append(h)
+        return np.array(out, np.uint32)
+
+    return tokens
 
 
-def _codes(lot: list[tuple[int, int, str]]) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.frombuffer("".join(x[2] for x in lot).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return codes, np.cumsum([len(x[2]) for x in lot])
+def _lots(texts: list[str], units, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts laid end to end in lots of about _PIECE units: all units, and for each window that lies in one text
+    its begin in the lot, its text and its begin there. Long texts come in pieces that overlap by length - 1."""
+    lot: list[tuple[int, int, np.ndarray]] = []
+    size = 0
 
+    def out():
+        starts = np.concatenate([[0], np.cumsum([len(x) for _, _, x in lot])[:-1]])
+        counts = np.array([len(x) - length + 1 for _, _, x in lot])
+        within = np.concatenate([np.arange(n) for n in counts])
+        at = np.repeat(starts, counts) + within
+        return np.concatenate([x for _, _, x in lot]), at, np.repeat([i for i, _, _ in lot], counts), within + np.repeat([o for _, o, _ in lot], counts)
+
+    for i, t in enumerate(texts):
+        codes = units(t)
+        for off in range(0, max(0, len(codes) - length + 1), _PIECE - length + 1):
+            piece = codes[off : off + _PIECE]
+            if lot and size + len(piece) > _PIECE:
+                yield out()
+                lot, size = [], 0
+            lot.append((i, off, piece))
+            size += len(piece)
+    if lot:
+        yield out()
 
-def _anchor_rows(length: int):
-    size = length - (1 << ROUNDS) + 1
-    schema = pa.schema([("fp", pa.int64()), ("h", pa.int64()), ("pos", pa.int64())])
+
+def _anchor_rows(length: int, unit: str):
+    """(fp, h): the different anchors of each text."""
+    schema = pa.schema([("fp", pa.int64()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = _units(unit)
         for b in batches:
-            h, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            for lot in _pieces(texts, length):
-                codes, ends = _codes(lot)
-                at, fp = anchors(codes, ends, size)
-                which = np.searchsorted(ends, at, side="right")
-                first = np.concatenate([[0], ends[:-1]])
-                doc, off = np.array([x[0] for x in lot]), np.array([x[1] for x in lot])
-                yield pa.record_batch([pa.array(fp[at]), pa.array(h[doc[which]]), pa.array(at - first[which] + off[which])], schema=schema)
+            h = b.column(0).to_numpy(zero_copy_only=False)
+            for codes, at, doc, _ in _lots(b.column(1).to_pylist(), units, length):
+                fp = window_anchors(codes, length)[at]
+                new = np.ones(len(fp), bool)
+                new[1:] = (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])  # neighbours mostly have the same anchor
+                yield pa.record_batch([pa.array(fp[new]), pa.array(h[doc[new]])], schema=schema)
 
     return run
 
 
-def _window_rows(length: int):
-    size = length - (1 << ROUNDS) + 1
-    schema = pa.schema([("w", pa.int64()), ("h", pa.int64()), ("start", pa.int64())])
+def _window_rows(length: int, unit: str):
+    schema = pa.schema([("w", pa.int64()), ("v", pa.int32()), ("h", pa.int64()), ("start", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = _units(unit)
         for b in batches:
-            h, texts, pos = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), b.column(2)
-            for lot in _pieces(texts, length):
-                codes, ends = _codes(lot)
-                w = window_hashes(codes, length)
-                begin = 0
-                out = []
-                for (i, off, piece), end in zip(lot, ends, strict=True):
-                    n = len(piece) - length + 1
-                    if n > 0:
-                        a = pos[i].values.to_numpy(zero_copy_only=False) - off
-                        lo, hi = np.clip(a - (length - size), 0, n), np.clip(a + 1, 0, n)
-                        step = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
-                        s = np.flatnonzero(np.cumsum(step[:n]) > 0)
-                        out.append((w[begin + s], np.full(len(s), h[i]), s + off))
-                    begin = end
-                if out:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+            h, shared = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
+            for codes, at, doc, start in _lots(b.column(1).to_pylist(), units, length):
+                fp = window_anchors(codes, length)[at]
+                bounds = np.flatnonzero(np.diff(doc)) + 1
+                keep = np.zeros(len(at), bool)
+                for lo, hi in zip([0, *bounds], [*bounds, len(doc)], strict=True):
+                    keep[lo:hi] = np.isin(fp[lo:hi], shared[int(doc[lo])].values.to_numpy(zero_copy_only=False))
+                if keep.any():
+                    w, v = window_hashes(codes, length)[at[keep]], check_hashes(codes, length)[at[keep]]
+                    yield pa.record_batch([pa.array(w), pa.array(v), pa.array(h[doc[keep]]), pa.array(start[keep])], schema=schema)
 
     return run
 
 
-def _twice(rows: DataFrame, key: str) -> DataFrame:
+def _twice(rows: DataFrame, *key: str) -> DataFrame:
     """Keys that at least two documents have; constant state per key, combined before the shuffle."""
-    return rows.groupBy(key).agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select(key)
+    return rows.groupBy(*key).agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select(*key)
 
 
-def _prepare(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    if length <= 1 << ROUNDS:
-        raise ValueError(f"length must exceed {1 << ROUNDS}")
-    long = docs.select("doc_id", "text").where(F.length("text") >= length)
-    keyed = long.select("doc_id", F.length("text").cast("bigint").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"), F.xxhash64("text").alias("h"))
+def _prepare(docs: DataFrame, length: int, unit: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    if length < 2:
+        raise ValueError("length must be at least 2")
+    n = F.length("text") if unit == CHARS else F.size(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)))
+    long = docs.select("doc_id", "text", n.cast("bigint").alias("n")).where(F.col("n") >= length)
+    keyed = long.select("doc_id", "n", F.md5(F.col("text").cast("binary")).alias("digest"), F.xxhash64("text").alias("h"))
     classes = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("h").alias("h"), F.count(F.lit(1)).alias("copies"))
-    marks = materialize(long.select(F.xxhash64("text").alias("h"), "text").mapInArrow(_anchor_rows(length), "fp bigint, h bigint, pos bigint"), "anchors")
-    hits = marks.join(_twice(marks, "fp"), "fp", "left_semi").groupBy("h").agg(F.collect_set("pos").alias("pos"))
-    todo = classes.join(hits, "h").select(F.col("rep").alias("doc_id"), "h", "pos")
-    windows = materialize(long.join(todo, "doc_id").select("h", "text", "pos").mapInArrow(_window_rows(length), "w bigint, h bigint, start bigint"), "windows")
-    found = windows.join(_twice(windows, "w"), "w", "left_semi").select("h", "start")
+    marks = materialize(long.select(F.xxhash64("text").alias("h"), "text").mapInArrow(_anchor_rows(length, unit), "fp bigint, h bigint"), "anchors")
+    hits = marks.join(_twice(marks, "fp"), "fp", "left_semi").groupBy("h").agg(F.collect_set("fp").alias("shared"))  # at most one text's anchors
+    todo = classes.join(hits, "h").select(F.col("rep").alias("doc_id"), "h", "shared")
+    windows = materialize(long.join(todo, "doc_id").select("h", "text", "shared").mapInArrow(_window_rows(length, unit), "w bigint, v int, h bigint, start bigint"), "windows")
+    found = windows.join(_twice(windows, "w", "v"), ["w", "v"], "left_semi").select("h", "start")
     return keyed, classes, found
 
 
-def shared_chars(docs: DataFrame, length: int = 250) -> DataFrame:
-    """(doc_id, shared_chars) of documents that share at least one span of ``length`` code points."""
-    keyed, classes, found = _prepare(docs, length)
-    after = F.lead("start").over(Window.partitionBy("h").orderBy("start")) - F.col("start")
+def _shared(docs: DataFrame, length: int, unit: str) -> DataFrame:
+    keyed, classes, found = _prepare(docs, length, unit)
+    after = F.lead("start").over(Window.partitionBy("h").orderBy("start")) - F.col("start")  # of one text
     covered = found.select("h", F.least(F.coalesce(after, F.lit(length)), F.lit(length)).alias("c")).groupBy("h").agg(F.sum("c").alias("covered"))
     by_class = classes.join(covered, "h", "left").where("copies > 1 or covered is not null").select("digest", "copies", "covered")
-    return keyed.join(by_class, "digest").select("doc_id", F.when(F.col("copies") > 1, F.col("n")).otherwise(F.col("covered")).cast("bigint").alias("shared_chars"))
+    return keyed.join(by_class, "digest").select("doc_id", "n", F.when(F.col("copies") > 1, F.col("n")).otherwise(F.col("covered")).cast("bigint").alias("shared"))
+
+
+def shared_tokens(docs: DataFrame, length: int = 50) -> DataFrame:
+    """(doc_id, tokens, shared_tokens) of documents that share at least one span of ``length`` tokens."""
+    return _shared(docs, length, TOKENS).select("doc_id", F.col("n").alias("tokens"), F.col("shared").alias("shared_tokens"))
+
+
+def shared_chars(docs: DataFrame, length: int = 250) -> DataFrame:
+    """(doc_id, shared_chars) of documents that share at least one span of ``length`` code points."""
+    return _shared(docs, length, CHARS).select("doc_id", F.col("shared").alias("shared_chars"))
 
 
-def removal_intervals(docs: DataFrame, length: int = 250) -> DataFrame:
-    """(doc_id, begin, end): maximal intervals of code points, end excluded, that lie in shared spans."""
-    keyed, classes, found = _prepare(docs, length)
+def removal_intervals(docs: DataFrame, length: int = 250, unit: str = CHARS) -> DataFrame:
+    """(doc_id, begin, end): maximal intervals of units, end excluded, that lie in shared spans."""
+    keyed, classes, found = _prepare(docs, length, unit)
     order = Window.partitionBy("h").orderBy("start")
     islands = found.withColumn("new", (F.col("start") > F.lag("start").over(order) + length).cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(order))
     spans = islands.groupBy("h", "island").agg(F.min("start").alias("begin"), (F.max("start") + length).alias("end")).drop("island")

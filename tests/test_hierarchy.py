@@ -45,7 +45,7 @@ def rows_of(seed, n, loops):
     return [tuple(x) for x in rows]
 
 
-@pytest.mark.parametrize("seed,n,loops,max_local", [(1, 300, 0, 10**6), (2, 300, 6, 10**6), (3, 200, 5, 0), (4, 60, 0, 0)])
+@pytest.mark.parametrize("seed,n,loops,max_local", [(1, 300, 0, 10**6), (2, 300, 6, 10**6), (3, 200, 5, 0), (4, 60, 0, 0), (5, 200, 4, 15)])
 def test_against_walks(spark, seed, n, loops, max_local):
     rows = rows_of(seed, n, loops)
     got = H.resolve(spark.createDataFrame(rows, SCHEMA), max_local=max_local, with_path=True, parts=5).collect()
@@ -53,6 +53,24 @@ def test_against_walks(spark, seed, n, loops, max_local):
     assert len(got) == n
 
 
+@pytest.mark.parametrize("loops", [0, 5])
+def test_the_quotient_is_contracted_again_and_again(spark, monkeypatch, loops):
+    """Chains of neighbouring ids over many partitions: every level shrinks, and pointer doubling is never needed."""
+    n, r = 400, random.Random(loops)
+    rows = [(f"n{k:04d}", None if k % 90 == 0 else f"n{k - 1:04d}" if k % 3 else f"n{max(0, k - r.randint(1, 5)):04d}", k % 180 == 0, f"g{k // 7:03d}") for k in range(n)]
+    for k in [40, 130, 210, 300, 395][:loops]:
+        rows[k - 25] = (rows[k - 25][0], rows[k][0], False, rows[k - 25][3])
+    levels = []
+    expand = H._expand_level
+    monkeypatch.setattr(H, "_expand_level", lambda *a: levels.append(1) or expand(*a))
+    monkeypatch.setattr(H, "_doubling", None)
+    got = H.resolve(spark.createDataFrame(rows, SCHEMA), max_local=5, rows_per_part=5, with_path=True, parts=60).collect()
+    assert {r.id: (r.root_id, r.depth, r.state, list(r.path)) for r in got} == brute(rows)
+    assert len(levels) >= 2
+    short = H.resolve(spark.createDataFrame(rows, SCHEMA), max_local=5, rows_per_part=5, parts=60).collect()
+    assert {r.id: (r.root_id, r.depth, r.state) for r in short} == {k: v[:3] for k, v in brute(rows).items()}
+
+
 def test_nulls_repeats_self_and_empty(spark):
     rows = [(None, "a", False, None), ("a", None, True, None), ("a", None, True, None), ("b", "a", None, None), ("c", "c", False, "x"), ("d", "c", False, "y"), ("e", "gone", False, None)]
     got = {r.id: (r.root_id, r.depth, r.state) for r in H.resolve(spark.createDataFrame(rows, SCHEMA)).collect()}

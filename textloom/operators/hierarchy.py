@@ -7,11 +7,14 @@ quotient forest of those exits is solved, and the answers are expanded again.
   for one partition, in which case the range splits it. No task ever holds one whole group.
 * In a partition, pointer doubling over numpy arrays finds each node's local top, the steps to
   it, and local cycles.
-* A top whose parent lies in another partition becomes an edge of the quotient forest; that
-  forest is solved in one task if it has at most ``max_local`` rows, else by distributed
-  pointer doubling; it is not contracted again.
+* A top whose parent lies in another partition becomes an edge of the quotient forest. That forest is smaller,
+  and is solved the same way: range-partitioned, contracted to the exits of its own partitions, and so on
+  until at most ``max_local`` rows are left, which one task solves; the answers are then expanded level by level.
+  A level that shrinks by less than a fifth (ids that say nothing about neighbourhood) goes on by
+  pointer doubling with joins instead.
 * Cycles that cross partitions show up as cycles of the quotient; the fragments on them are
   solved again node by node.
+* Partitions hold about ``rows_per_part`` rows, whatever the number of rows.
 
 Defined cases: rows with a null id are ignored; several rows of an id count once (smallest
 non-null parent and group, terminal if any row is); a node named as its own parent is a cycle
@@ -157,18 +160,83 @@ def _doubling(q: DataFrame, n: int, with_path: bool) -> DataFrame:
     return out.join(ended.select("top", F.col("seg").alias("prefix")), "top", "left")
 
 
-def _solve_quotient(q: DataFrame, max_local: int, with_path: bool) -> tuple[DataFrame, bool]:
-    """q: (top, into, w, seg). Gives (top, end_top, hops, loop, prefix, below), and whether there is any loop."""
+def _contract_quotient(with_path: bool):
+    """One partition of quotient rows: to each the local top, the steps and path from it, or that it ends in a local cycle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        d = pd.concat(parts, ignore_index=True)
+        ids, into, w = d["top"].to_numpy(object), d["into"].to_numpy(object), d["w"].to_numpy(np.int64)
+        par = pd.Index(ids).get_indexer(pd.Index(into))
+        par = np.where(d["into"].isna().to_numpy(), -1, par)
+        ptr, dist, cyc = solve_arrays(ids, par, w)
+        on_loop = np.array([c is not None for c in cyc], bool)
+        rel: list = [None] * len(ids)
+        if with_path:
+            seg = d["seg"].to_numpy(object)
+            for i in np.argsort(dist, kind="stable"):
+                if not on_loop[i]:
+                    rel[i] = [*rel[par[i]], *seg[i]] if par[i] >= 0 else []
+        yield pd.DataFrame({"top": ids, "into": into, "w": w, "seg": d["seg"], "up": ids[ptr], "dist": dist, "loop": on_loop & (dist == 0), "below": on_loop, "rel": rel})
+
+    return run
+
+
+_CONTRACTED = "top string, into string, w bigint, seg array<string>, up string, dist bigint, loop boolean, below boolean, rel array<string>"
+
+
+def _solve_quotient(q: DataFrame, max_local: int, with_path: bool, rows_per_part: int = 500_000, least_parts: int = 1) -> tuple[DataFrame, bool]:
+    """q: (top, into, w, seg). Gives (top, end_top, hops, loop, prefix, below), and whether there is any loop.
+
+    ``loop`` marks a set of rows that is closed under ``into`` and holds every cycle; ``below`` all rows that lead there.
+    """
     n = q.count()
     if n <= max_local:
         out = q.coalesce(1).mapInPandas(_solve_one(with_path), _SOLVED + ", below boolean")
     else:
-        out = _doubling(q, n, with_path)
+        parts = max(least_parts, -(-n // max(1, min(rows_per_part, max_local))))
+        level = materialize(q.repartitionByRange(parts, "top").mapInPandas(_contract_quotient(with_path), _CONTRACTED), "level")
+        tops = level.where("dist = 0 and not below")
+        if tops.count() > 0.8 * n:
+            out = _doubling(q, n, with_path)
+        else:
+            out = _expand_level(level, tops, max_local, with_path, rows_per_part)
     out = materialize(out, "quotient")
     return out, not out.where("below").isEmpty()
 
 
-def resolve(nodes: DataFrame, max_local: int = 500_000, with_path: bool = False, parts: int | None = None) -> DataFrame:
+def _expand_level(level: DataFrame, tops: DataFrame, max_local: int, with_path: bool, rows_per_part: int) -> DataFrame:
+    target = level.select(F.col("top").alias("into"), F.col("up").alias("to"), F.col("dist").alias("to_dist"), F.col("below").alias("to_below"), F.col("rel").alias("to_rel"))
+    tied = materialize(tops.select("top", "into", "w", "seg").join(target, "into", "left"), "tied")
+    joined = F.concat("to_rel", "seg") if with_path else F.lit(None).cast("array<string>")
+    inner = tied.where("to is not null and not to_below").select("top", F.col("to").alias("into"), (F.col("w") + F.col("to_dist")).alias("w"), joined.alias("seg"))
+    answer, _ = _solve_quotient(inner, max_local, with_path, rows_per_part)
+    ends = tied.where("to is null").select("top", F.col("into").alias("end_top"), F.col("w").alias("hops"), F.lit(False).alias("loop"), F.col("seg").alias("prefix"), F.lit(False).alias("below"))
+    under = tied.where("to_below").select("top", F.lit(None).cast("string").alias("end_top"), F.lit(0).cast("bigint").alias("hops"), F.lit(False).alias("loop"), F.lit(None).cast("array<string>").alias("prefix"), F.lit(True).alias("below"))
+    # an answer that ends inside names the fragment it came through; its own top's ``into`` is what lies outside
+    solved = ends.unionByName(under).unionByName(_through(answer, tied))
+    got = solved.select(F.col("top").alias("up"), "end_top", "hops", F.col("loop").alias("up_loop"), "prefix", F.col("below").alias("up_below"))
+    rows = level.where("not below").join(got, "up")
+    path = F.concat("prefix", "rel") if with_path else F.lit(None).cast("array<string>")
+    open_ = rows.select("top", "end_top", (F.col("hops") + F.col("dist")).alias("hops"), F.col("up_loop").alias("loop"), path.alias("prefix"), F.col("up_below").alias("below"))
+    closed = level.where("below").select("top", F.lit(None).cast("string").alias("end_top"), F.col("dist").alias("hops"), "loop", F.lit(None).cast("array<string>").alias("prefix"), "below")
+    return open_.unionByName(closed)
+
+
+def _through(answer: DataFrame, tied: DataFrame) -> DataFrame:
+    """Answers over the inner tops end at a top that is no inner row: that one's own row says how it goes on."""
+    last = tied.where("to is null or to_below").select(F.col("top").alias("end_top"), F.col("into").alias("own_into"), F.col("w").alias("own_w"), F.col("seg").alias("own_seg"), F.coalesce("to_below", F.lit(False)).alias("own_below"))
+    j = answer.join(last, "end_top", "left")
+    out = j.select(
+        "top", F.when(~F.col("own_below"), F.col("own_into")).alias("end_top"), (F.col("hops") + F.coalesce("own_w", F.lit(0))).alias("hops"), "loop",
+        F.when(F.col("own_seg").isNotNull(), F.concat("own_seg", "prefix")).otherwise(F.col("prefix")).alias("prefix"), (F.col("below") | F.coalesce("own_below", F.lit(False))).alias("below"),
+    )
+    return out
+
+
+def resolve(nodes: DataFrame, max_local: int = 500_000, with_path: bool = False, parts: int | None = None, rows_per_part: int = 500_000) -> DataFrame:
     """nodes: (id, parent, terminal, grp). Gives (id, root_id, depth, state[, path]).
 
     ``state`` is ``tree`` (the chain ends at a terminal node), ``orphan`` (it ends at another) or
@@ -182,8 +250,9 @@ def resolve(nodes: DataFrame, max_local: int = 500_000, with_path: bool = False,
         .withColumn("parent", F.when(~F.col("terminal"), F.col("parent")))
         .withColumn("grp", F.coalesce("grp", "id"))
     )
+    parts = parts or max(partitions(spark), -(-nodes.count() // rows_per_part))
     local = materialize(
-        clean.repartitionByRange(parts or partitions(spark), "grp", "id").select("id", "parent", "terminal").mapInPandas(_contract(with_path), _LOCAL),
+        clean.repartitionByRange(parts, "grp", "id").select("id", "parent", "terminal").mapInPandas(_contract(with_path), _LOCAL),
         "fragments",
     )
     # exits: tops whose parent is named but lies in no row of the same partition
@@ -202,7 +271,7 @@ def resolve(nodes: DataFrame, max_local: int = 500_000, with_path: bool = False,
             F.when(F.col("cyc").isNotNull(), CYCLE).when(F.col("end_terminal"), TREE).otherwise(ORPHAN).alias("state"), *pick,
         )
     q = edges.select("top", "into", (F.col("into_dist") + 1).alias("w"), "seg")
-    answer, loops = _solve_quotient(q, max_local, with_path)
+    answer, loops = _solve_quotient(q, max_local, with_path, rows_per_part)
     found = answer.where("not below").join(ends, "end_top", "left").select(
         "top", "hops", "prefix", F.coalesce("end_cyc", "end_top").alias("end_id"),
         F.when(F.col("end_cyc").isNotNull(), CYCLE).when(F.col("end_terminal"), TREE).otherwise(ORPHAN).alias("end_state"),

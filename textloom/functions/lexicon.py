@@ -29,7 +29,33 @@ SKIPPED_SUB = (
 PRONOUNS = (
     "i me myself mine you yourself yours he him himself his she her herself hers it itself its we us ourselves ours they them themselves yourselves theirs".split()
 )
-PRONOUNS_COMPAT = [p for p in PRONOUNS if p not in ("yourself", "yours", "ours", "they")] + ["yourselfyours", "oursthey"]
+PRONOUNS_COMPAT = (
+    "i me myself mine you yourselfyours he him himself his she her herself hers it itself its we us ourselves oursthey them themselves yourselves theirs".split()
+)
+# The English stop words that the word tables are filtered with, a public list of 179.
 STOPWORDS = (
-    "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves"
+    "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers herself it it's its itself they them their theirs themselves "
+    "what which who whom this that that'll these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against "
+    "between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such "
+    "no nor not only own same so than too very s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't "
+    "isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
 ).split()
+# The characters that cleaning blanks or unifies, in the two profiles.
+CLEAN_PIPELINE = [
+    ("[‑‒–—―−•‣…‰‱،؛؟、。「」！，：；？]", " "),
+    ("['`´‘’‚‛′‵ʻʼʹ]", "'"),
+    ('["“”„‟«»＂]', '"'),
+    (r"[*#_~\\/|]", " "),
+    (r'([!?,;:()\[\]{}"])', " $1 "),
+    ("'s", " 's"),
+]
+CLEAN_TESTER = [
+    ("[‑-―−•‣‰‱،؛؟、。「」！，：；？]", " "),
+    ("[‘’`´]", "'"),
+    ('["“”„‟«»＂]', '"'),
+    (r"[*#~\\/|]", " "),
+    ("…", "..."),
+    (r"([.!?]){2,}", "$1"),
+    (r"""([()\[\]{}"'`])""", " $1 "),
+    ("'s", " 's"),
+]

@@ -17,8 +17,14 @@ def union(parts: dict[str, DataFrame], name: str = "source") -> DataFrame:
 
 
 def fraction(*ids: str, seed: int = 1234) -> Column:
-    """A number in [0, 1) from the ids and the seed."""
-    return F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    """A number in [0, 1) from the ids and the seed: the first 32 bits of an MD5 digest, which any system can compute again."""
+    return hashed(*ids, seed=seed) / F.lit(float(1 << 32))
+
+
+def hashed(*ids: str, seed: int = 1234) -> Column:
+    """A number in [0, 2**32) from the ids and the seed."""
+    text = F.concat_ws("|", *(F.col(i).cast("string") for i in ids), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
 def hash_split(df: DataFrame, ids: list[str], shares: dict[str, float], seed: int = 1234, name: str = "shard") -> DataFrame:
@@ -111,8 +117,8 @@ def augment_punctuation(df: DataFrame, ids: list[str], column: str = "text", see
 def random_crops(df: DataFrame, ids: list[str], column: str = "text", shortest: int = 5, longest: int = 20, seed: int = 1234) -> DataFrame:
     """A crop of whole words of each text, its place and length from the row's hash."""
     w = F.split(column, " ")
-    n = (F.lit(shortest) + F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(longest - shortest + 1))).cast("int")
-    at = F.pmod(F.xxhash64(*ids, F.lit(seed + 1)), F.greatest(F.size(w) - n + 1, F.lit(1))).cast("int")
+    n = (F.lit(shortest) + F.pmod(hashed(*ids, seed=seed), F.lit(longest - shortest + 1))).cast("int")
+    at = F.pmod(hashed(*ids, seed=seed + 1), F.greatest(F.size(w) - n + 1, F.lit(1))).cast("int")
     return df.withColumn(column, F.array_join(F.slice(w, at + 1, n), " "))
 
 

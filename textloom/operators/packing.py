@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.assembly import hashed
+
 
 def windows(text: Column, shortest: int = 10, longest: int = 50) -> Column:
     """Words joined to windows of at most ``longest`` characters where words allow, shorter ones than ``shortest`` dropped."""
@@ -35,11 +37,18 @@ def batches(sizes: Column, capacity: int, alone_above: int | None = None) -> Col
     return F.aggregate(sizes, start, step, lambda a: a["ids"])
 
 
-def length_sorted_batches(df: DataFrame, group: str, item: str, size: str, capacity: int, alone_above: int | None = None) -> DataFrame:
-    """(group, item, batch): longest first within each group, then packed."""
-    g = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("o"), F.col(item).alias("item")))).alias("x"))
+def length_sorted_batches(df: DataFrame, group: str, item: str, size: str, capacity: int, alone_above: int | None = None, fold: int = 20_000) -> DataFrame:
+    """(group, part, item, batch): longest first within each group, then packed.
+
+    A pack is a fold, so a group goes in parts of about ``fold`` items, told apart by a hash of the item: no task
+    holds a whole group, however large. Each part has its own batch numbers.
+    """
+    n = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / fold).cast("int").alias("_parts"))
+    part = F.pmod(hashed(item, seed=0), F.col("_parts")).cast("int")
+    split = df.withColumn("_g", F.col(group)).join(n.select(F.col(group).alias("_g2"), "_parts"), F.col("_g").eqNullSafe(F.col("_g2"))).withColumn("part", part)
+    g = split.groupBy(group, "part").agg(F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("o"), F.col(item).alias("item")))).alias("x"))
     b = batches(F.transform("x", lambda y: -y["o"]), capacity, alone_above)
-    return g.select(group, F.inline(F.arrays_zip(F.transform("x", lambda y: y["item"]).alias(item), b.alias("batch"))))
+    return g.select(group, "part", F.inline(F.arrays_zip(F.transform("x", lambda y: y["item"]).alias(item), b.alias("batch"))))
 
 
 def intervals(sizes: Column, capacity: int) -> Column:

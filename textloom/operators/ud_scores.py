@@ -1,8 +1,9 @@
-"""Scores of a parsed text against gold: tokens, words, tags, attachments, lemmas.
+"""Scores of a parsed text against gold: tokens, sentences, words, tags, attachments, lemmas.
 
 Both sides are word rows with character spans over the same text. Words are aligned by equal spans in one
-join; only sentences with multi-word tokens, whose words have no spans of their own, are walked one by one, and
-in the regions of such tokens the longest common subsequence decides.
+join, and each word carries the span of its head, so that heads are compared without another join. Only sentences
+with multi-word tokens, whose words have no spans of their own, take a second way: the spans of such tokens of
+both sides form regions, and in a region a longest common subsequence of the forms decides.
 """
 
 from __future__ import annotations
@@ -17,109 +18,152 @@ from textloom.operators import conllu as C
 from textloom.operators.tags import prf
 from textloom.session import materialize
 
-METRICS = ("Words", "UPOS", "XPOS", "UFeats", "AllTags", "Lemmas", "UAS", "LAS", "CLAS", "MLAS", "BLEX")
+METRICS = ("Tokens", "Sentences", "Words", "UPOS", "XPOS", "UFeats", "AllTags", "Lemmas", "UAS", "LAS", "CLAS", "MLAS", "BLEX")
 _SEP = "\u0001"
 
 
 def prepared(words: DataFrame, key: list[str]) -> DataFrame:
-    """Plain words with spans, universal features sorted, relation without subtype, and word-class flags."""
+    """Plain words with spans, universal features sorted, relation without subtype, word-class flags, the head's span and
+    the functional children. Everything is one window over the sentence."""
     w = C.surface_spans(words, key)
     feats = F.array_join(F.array_sort(F.filter(F.split(F.coalesce("feats", F.lit("")), r"\|"), lambda f: F.split_part(f, F.lit("="), F.lit(1)).isin(C.UNIVERSAL_FEATURES))), "|")
     rel = F.split_part(F.coalesce("deprel", F.lit("")), F.lit(":"), F.lit(1))
-    return w.select(*key, "id_start", "begin", "end", "multi", F.lower("form").alias("form"), *(F.coalesce(c, F.lit("_")).alias(c) for c in ("lemma", "upos", "xpos")), feats.alias("feats"), "head", rel.alias("deprel"), rel.isin(C.CONTENT).alias("content"), rel.isin(C.FUNCTIONAL).alias("function"))
+    w = w.select(*key, "id_start", "begin", "end", "multi", F.lower("form").alias("form"), *(F.coalesce(c, F.lit("_")).alias(c) for c in ("lemma", "upos", "xpos")), feats.alias("feats"), "head", rel.alias("deprel"), rel.isin(C.CONTENT).alias("content"), rel.isin(C.FUNCTIONAL).alias("function"))
+    whole = Window.partitionBy(*key).orderBy("id_start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kid = F.when(F.col("function"), F.concat_ws(_SEP, "deprel", "upos", "feats"))
+    w = w.withColumn("_all", F.collect_list(F.struct("id_start", "begin", "end", "head", kid.alias("kid"))).over(whole)).withColumn("total", F.max("end").over(whole))
+    order = Window.partitionBy(*key).orderBy("id_start")
+    w = w.withColumn("opens_token", ~F.col("multi") | F.coalesce(F.lag("begin").over(order) != F.col("begin"), F.lit(True))).withColumn("opens_sentence", F.lag("begin").over(order).isNull())
+    up = F.get("_all", F.col("head") - 1)
+    up = F.when(up["id_start"] == F.col("head"), up)
+    kids = F.transform(F.filter("_all", lambda x: (x["head"] == F.col("id_start")) & x["kid"].isNotNull()), lambda x: x["kid"])
+    return w.withColumn("head_begin", up["begin"]).withColumn("head_end", up["end"]).withColumn("kids", F.array_join(F.array_sort(kids), "\u0002")).drop("_all", "function")
 
 
-def aligned(gold: DataFrame, system: DataFrame, key: list[str], walked: DataFrame | None = None) -> DataFrame:
-    """One row per pair of aligned words; columns g_* and s_*. The sentences in ``walked`` (key..., pairs) have their
-    pairs of ids there, all others go by equal spans."""
-    g = gold.select(*key, "begin", "end", *(F.col(c).alias(f"g_{c}") for c in gold.columns if c not in (*key, "begin", "end")))
-    s = system.select(*key, "begin", "end", *(F.col(c).alias(f"s_{c}") for c in system.columns if c not in (*key, "begin", "end")))
-    if walked is None:
-        return g.join(s, [*key, "begin", "end"]).drop("begin", "end")
-    plain = g.join(walked.select(*key), key, "left_anti").join(s, [*key, "begin", "end"]).drop("begin", "end")
-    pairs = walked.select(*key, F.inline("pairs"))
-    return plain.unionByName(pairs.join(g.drop("begin", "end"), [*key, "g_id_start"]).join(s.drop("begin", "end"), [*key, "s_id_start"]))
+def _sided(x: DataFrame, key: list[str], side: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return x.select(*key, *keep, *(F.col(c).alias(f"{side}_{c}") for c in x.columns if c not in (*key, *keep)))
 
 
-def walk(gold: list, system: list) -> list[tuple[int, int]]:
-    """Positions of the aligned words of a sentence, given as mappings with begin, end, form and multi.
+def islands(spans: DataFrame, key: list[str]) -> DataFrame:
+    """Adds ``island``: regions of overlapping spans, numbered within the key."""
+    w = Window.partitionBy(*key).orderBy("begin", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("_new", (reach.isNull() | (F.col("begin") >= reach)).cast("int")).withColumn("island", F.sum("_new").over(w)).drop("_new")
+
 
-    Outside of multi-word tokens equal spans decide. Where a word of one is reached, the region lasts as long as words
-    of such tokens begin, or other words end, before its end; inside, a longest common subsequence of forms decides.
-    """
+def lcs_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Positions of one longest common subsequence."""
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            n[i][j] = 1 + n[i + 1][j + 1] if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(gold) and j < len(system):
-        g, s = gold[i], system[j]
-        if not (g["multi"] or s["multi"]):
-            if (g["begin"], g["end"]) == (s["begin"], s["end"]):
-                out.append((i, j))
-                i, j = i + 1, j + 1
-            elif g["begin"] <= s["begin"]:
-                i += 1
-            else:
-                j += 1
-            continue
-        end = g["end"] if g["multi"] else s["end"]
-        if g["multi"]:
-            j += not s["multi"] and s["begin"] < g["begin"]
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif n[i + 1][j] >= n[i][j + 1]:
+            i += 1
         else:
-            i += g["begin"] < s["begin"]
-        a, b = i, j
-        inside = lambda w, k: k < len(w) and (w[k]["begin"] < end if w[k]["multi"] else w[k]["end"] <= end)  # noqa: E731, B023
-        while inside(gold, i) or inside(system, j):
-            if i < len(gold) and (j >= len(system) or gold[i]["begin"] <= system[j]["begin"]):
-                x, i = gold[i], i + 1
-            else:
-                x, j = system[j], j + 1
-            end = max(end, x["end"]) if x["multi"] else end
-        out += [(a + x, b + y) for x, y in lcs_pairs([w["form"] for w in gold[a:i]], [w["form"] for w in system[b:j]])]
+            j += 1
     return out
 
 
-def _walked(gold: DataFrame, system: DataFrame, key: list[str]) -> DataFrame | None:
-    """(key..., pairs) of the sentences with a multi-word token on either side; None if there are none."""
-    multi = gold.where("multi").select(*key).unionByName(system.where("multi").select(*key)).distinct()
-    if multi.isEmpty():
-        return None
-    side = lambda x, n: x.join(multi, key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("id_start", "begin", "end", "form", "multi"))).alias(n))
+def _region_pairs(g: DataFrame, s: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., g_id_start, s_id_start): in every region of overlapping multi-word tokens, the words of a longest common subsequence."""
+    tokens = g.where("multi").select(*key, "begin", "end").unionByName(s.where("multi").select(*key, "begin", "end")).distinct()
+    regions = islands(tokens, key).groupBy(*key, "island").agg(F.min("begin").alias("_from"), F.max("end").alias("_to"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            pairs = [[{"g_id_start": int(g[i]["id_start"]), "s_id_start": int(s[j]["id_start"])} for i, j in walk(list(g), list(s))] for g, s in zip(b["g"], b["s"])]
-            yield b[key].assign(pairs=pairs)
+    def inside(x: DataFrame, name: str) -> DataFrame:
+        r = x.join(regions, key).where(F.col("begin") >= F.col("_from")).where(F.when(F.col("multi"), F.col("begin") < F.col("_to")).otherwise(F.col("end") <= F.col("_to")))
+        return r.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.struct("id_start", "form"))).alias(name))
 
-    sides = side(gold, "g").join(side(system, "s"), key)
-    names = ", ".join(f"`{k}` {gold.schema[k].dataType.simpleString()}" for k in key)
-    return materialize(sides.mapInPandas(run, f"{names}, pairs array<struct<g_id_start: int, s_id_start: int>>"), "walked")
+    @F.pandas_udf("array<struct<g_id_start: int, s_id_start: int>>")
+    def pairs(gold: pd.Series, system: pd.Series) -> pd.Series:
+        return pd.Series([[{"g_id_start": int(a[i]["id_start"]), "s_id_start": int(b[j]["id_start"])} for i, j in lcs_pairs([x["form"] for x in a], [x["form"] for x in b])] for a, b in zip(gold, system)])
 
+    return inside(g, "_g").join(inside(s, "_s"), [*key, "island"]).select(*key, F.inline(pairs("_g", "_s")))
 
-def _functional_children(w: DataFrame, key: list[str]) -> DataFrame:
-    kids = w.where("function").select(*key, F.col("head").alias("id_start"), F.concat_ws(_SEP, "deprel", "upos", "feats").alias("k"))
-    return kids.groupBy(*key, "id_start").agg(F.array_join(F.array_sort(F.collect_list("k")), "\u0002").alias("kids"))
+
+def _equal_spans(g: DataFrame, s: DataFrame, key: list[str]) -> DataFrame:
+    """Aligned words of sentences without multi-word tokens, and whether the heads are aligned too."""
+    a = _sided(g, key, "g", ("begin", "end")).join(_sided(s, key, "s", ("begin", "end")), [*key, "begin", "end"])
+    heads = ((F.col("g_head") == 0) & (F.col("s_head") == 0)) | ((F.col("g_head") > 0) & (F.col("s_head") > 0) & (F.col("g_head_begin") == F.col("s_head_begin")) & (F.col("g_head_end") == F.col("s_head_end")))
+    return a.withColumn("heads", F.coalesce(heads, F.lit(False))).drop("begin", "end")
+
+
+def _with_regions(g: DataFrame, s: DataFrame, key: list[str]) -> DataFrame:
+    """The same for sentences with multi-word tokens: plain words by spans, words in regions by common subsequences, heads by a join."""
+    spans = g.where("not multi").select(*key, "begin", "end", F.col("id_start").alias("g_id_start")).join(s.where("not multi").select(*key, "begin", "end", F.col("id_start").alias("s_id_start")), [*key, "begin", "end"]).drop("begin", "end")
+    pairs = materialize(spans.unionByName(_region_pairs(g, s, key)).distinct(), "pairs")
+    a = pairs.join(_sided(g, key, "g"), [*key, "g_id_start"]).join(_sided(s, key, "s"), [*key, "s_id_start"])
+    up = pairs.select(*key, F.col("s_id_start").alias("s_head"), F.col("g_id_start").alias("_up"))
+    a = a.join(up, [*key, "s_head"], "left")
+    return a.withColumn("heads", F.coalesce(F.col("g_head") == F.when(F.col("s_head") == 0, 0).otherwise(F.col("_up")), F.lit(False))).drop("_up")
 
 
 def scores(gold_words: DataFrame, system_words: DataFrame, key: list[str]) -> DataFrame:
-    """(metric, correct, gold_total, system_total, precision, recall, f1) of the eleven word metrics, in one aggregate per side."""
+    """(metric, correct, gold_total, system_total, precision, recall, f1) of the thirteen metrics. A key is a sentence of both sides."""
     g, s = materialize(prepared(gold_words, key), "gold"), materialize(prepared(system_words, key), "system")
-    walked = _walked(g, s, key)
-    g, s = (x.join(_functional_children(x, key), [*key, "id_start"], "left").withColumn("kids", F.coalesce("kids", F.lit(""))) for x in (g, s))
-    a = materialize(aligned(g, s, key, walked), "aligned")
-    # a system head counts as right if it is aligned with the gold head
-    heads = a.select(*key, F.col("s_id_start").alias("s_head"), F.col("g_id_start").alias("_mapped"))
-    a = a.join(heads, [*key, "s_head"], "left").withColumn("_mapped", F.when(F.col("s_head") == 0, 0).otherwise(F.col("_mapped")))
+    multi = g.where("multi").select(*key).unionByName(s.where("multi").select(*key)).distinct()
+    if multi.isEmpty():
+        a = _equal_spans(g, s, key)
+    else:
+        multi = materialize(multi, "multi")
+        part = lambda x, how: x.join(multi, key, how)
+        a = _equal_spans(part(g, "left_anti"), part(s, "left_anti"), key).unionByName(_with_regions(part(g, "left_semi"), part(s, "left_semi"), key), allowMissingColumns=True)
     eq = lambda *cs: F.expr(" and ".join(f"g_{c} <=> s_{c}" for c in cs))
-    uas = F.col("g_head") == F.col("_mapped")
+    uas = F.col("heads")
     las = uas & eq("deprel")
     clas = las & F.col("g_content")
-    tests = {"Words": F.lit(True), "UPOS": eq("upos"), "XPOS": eq("xpos"), "UFeats": eq("feats"), "AllTags": eq("upos", "xpos", "feats"), "Lemmas": eq("lemma") | (F.col("g_lemma") == "_"), "UAS": uas, "LAS": las, "CLAS": clas, "MLAS": clas & eq("upos", "feats", "kids"), "BLEX": clas & (eq("lemma") | (F.col("g_lemma") == "_"))}
+    lemma = eq("lemma") | (F.col("g_lemma") == "_")
+    tests = {"Words": F.lit(True), "UPOS": eq("upos"), "XPOS": eq("xpos"), "UFeats": eq("feats"), "AllTags": eq("upos", "xpos", "feats"), "Lemmas": lemma, "UAS": uas, "LAS": las, "CLAS": clas, "MLAS": clas & eq("upos", "feats", "kids"), "BLEX": clas & lemma}
     ok = a.agg(*(F.count_if(F.coalesce(t, F.lit(False))).alias(m) for m, t in tests.items()))
-    size = lambda x, n: x.agg(F.count(F.lit(1)).alias(f"{n}_all"), F.count_if("content").alias(f"{n}_content"))
-    one = ok.join(F.broadcast(size(g, "g")), F.lit(True)).join(F.broadcast(size(s, "s")), F.lit(True))
-    rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("correct"), F.col(f"g_{k}").alias("gold_total"), F.col(f"s_{k}").alias("system_total")) for m in METRICS for k in ["content" if m in ("CLAS", "MLAS", "BLEX") else "all"]))
+    tokens = lambda x: x.where("opens_token").select(*key, "begin", "end")  # noqa: E731  the words of a multi-word token have its span
+    same = tokens(g).join(tokens(s), [*key, "begin", "end"]).agg(F.count(F.lit(1)).alias("Tokens"))
+    heads = lambda x: x.where("opens_sentence").select(*key, "total")
+    whole = heads(g).join(heads(s), [*key, "total"]).agg(F.count(F.lit(1)).alias("Sentences"))
+
+    def size(x: DataFrame, n: str) -> DataFrame:
+        return x.agg(F.count(F.lit(1)).alias(f"{n}_all"), F.count_if("content").alias(f"{n}_content"), F.count_if("opens_token").alias(f"{n}_tokens"), F.count_if("opens_sentence").alias(f"{n}_sentences"))
+
+    one = ok
+    for x in (same, whole, size(g, "g"), size(s, "s")):
+        one = one.join(F.broadcast(x), F.lit(True))
+    of = {"Tokens": "tokens", "Sentences": "sentences", "CLAS": "content", "MLAS": "content", "BLEX": "content"}
+    rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("correct"), F.col(f"g_{k}").alias("gold_total"), F.col(f"s_{k}").alias("system_total")) for m in METRICS for k in [of.get(m, "all")]))
     out = one.select(F.inline(rows))
     return out.select("*", *prf(F.col("correct"), F.col("system_total"), F.col("gold_total")))
 
 
+def score_table(scored: DataFrame, counts: bool = False) -> DataFrame:
+    """(line): the scores as a text table, percentages with two decimals, or counts of correct, gold and system units."""
+    place = F.create_map(*(F.lit(x) for i, m in enumerate(METRICS) for x in (m, i)))[F.col("metric")]
+    if counts:
+        cells = [F.lpad(F.col(c).cast("string"), 9, " ") for c in ("correct", "gold_total", "system_total")]
+        head = "Metric     |  Correct |      Gold |    System"
+    else:
+        cells = [F.lpad(F.format_number(100 * F.col(c), "0.00"), 9, " ") for c in ("precision", "recall", "f1")]
+        head = "Metric     | Precision |    Recall |  F1 Score"
+    body = scored.select(place.alias("at"), F.concat_ws(" | ", F.rpad("metric", 10, " "), *cells).alias("line"))
+    top = scored.sparkSession.createDataFrame([(-2, head), (-1, "-----------+" * 3 + "-----------")], "at int, line string")
+    return top.unionByName(body).orderBy("at").select("line")
+
+
+def selected(scored: DataFrame, metrics: list[str]) -> DataFrame:
+    """(scores): F1 of the chosen metrics in per cent, in the given order, side by side."""
+    of = {m: F.max(F.when(F.col("metric") == m, F.format_number(100 * F.col("f1"), "0.00"))) for m in metrics}
+    return scored.agg(*(c.alias(m) for m, c in of.items())).select(F.concat_ws(" ", *metrics).alias("scores"))
+
+
+def score_files(spark, gold: str, system: str) -> DataFrame:
+    """Scores of two CoNLL-U files (or folders with files of equal names); sentence n of one is compared with sentence n of the other."""
+    from textloom.sources.files import read_ordered_blocks
+
+    side = lambda p: C.words(read_ordered_blocks(spark, p))
+    return scores(side(gold), side(system), ["name", "sent"])
+
+
 def span_scores(gold: DataFrame, system: DataFrame, key: list[str]) -> DataFrame:
     """Spans (key..., begin, end) found by both: for tokens and sentences."""
     both = gold.select(*key, "begin", "end").withColumn("g", F.lit(1)).join(system.select(*key, "begin", "end").withColumn("s", F.lit(1)), [*key, "begin", "end"], "full")
@@ -127,31 +171,6 @@ def span_scores(gold: DataFrame, system: DataFrame, key: list[str]) -> DataFrame
     return t.select("*", *prf(F.col("correct"), F.col("system_total"), F.col("gold_total")))
 
 
-def islands(spans: DataFrame, key: list[str]) -> DataFrame:
-    """Adds ``island``: regions of overlapping spans, numbered within the key."""
-    w = Window.partitionBy(*key).orderBy("begin", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return spans.withColumn("_new", (reach.isNull() | (F.col("begin") >= reach)).cast("int")).withColumn("island", F.sum("_new").over(w)).drop("_new")
-
-
-def lcs_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Positions of one longest common subsequence."""
-    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            n[i][j] = 1 + n[i + 1][j + 1] if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif n[i + 1][j] >= n[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
 def lcs_sizes(regions: DataFrame) -> DataFrame:
     """regions (region, gold array<string>, system array<string>) -> (region, aligned): words aligned without case."""
 

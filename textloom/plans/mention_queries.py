@@ -113,8 +113,10 @@ SELECT * FROM t JOIN pm USING (word) JOIN qm USING (word) JOIN fr USING (word)
 
 
 def _summary(spark, sf_dir, drop):
-    a = _attached(spark, sf_dir)
-    s = S.summary(S.counts(a, "word", "upos").withColumnRenamed("upos", "key"), S.counts(a, "word", "model").withColumnRenamed("model", "key"), drop)
+    # one aggregate over the attached words is kept; both majorities come from it
+    both = materialize(S.counts(_attached(spark, sf_dir), "word", "upos", "model"), "word_counts")
+    of = lambda c: both.groupBy("word", F.col(c).alias("key")).agg(F.sum("n").alias("n"))
+    s = S.summary(of("upos"), of("model"), drop)
     entries = F.transform(F.map_entries("model_freqs"), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return s.withColumn("model_freqs", F.array_join(F.array_sort(entries), ","))
 

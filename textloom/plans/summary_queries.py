@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from textloom.functions import lexicon
 from textloom.functions import text as X
 from textloom.operators import summaries as S
+from textloom.operators.ordinal import number_rows
 from textloom.plans.registry import query
 from textloom.session import table
 
 
 def _list(words):
-    return ", ".join(f"('{w}')" for w in words)
+    return ", ".join("('" + w.replace("'", "''") + "')" for w in words)
 
 
 def _word_table(spark, words):
@@ -48,8 +49,9 @@ def top10_by_pos(spark, sf_dir):
 
 @query("adjectives_by_model", _WORDS + "SELECT replace(replace(majority_model, '-', '_'), '.', '_') AS model_slug, word, total_count, row_number() OVER (PARTITION BY majority_model ORDER BY total_count DESC, word) AS rank FROM w WHERE majority_upos = 'ADJ'")
 def adjectives_by_model(spark, sf_dir):
-    a = S.top_k(_words(spark, sf_dir).where("majority_upos = 'ADJ'"), 1 << 30, [F.desc("total_count"), F.asc("word")], "majority_model")
-    return a.select(X.slug(F.col("majority_model")).alias("model_slug"), "word", "total_count", F.col("rank").cast("bigint").alias("rank"))
+    a = _words(spark, sf_dir).where("majority_upos = 'ADJ'").withColumn("o", -F.col("total_count")).withColumn("g", F.coalesce("majority_model", F.lit("")))
+    r = number_rows(a, "g", ["o", "word"], "at")  # a model's list may be most of the table: ranks are given over range partitions
+    return r.select(X.slug(F.col("majority_model")).alias("model_slug"), "word", "total_count", (F.col("at") + 1).alias("rank"))
 
 
 for _name, _pronouns in (("pronoun_sums", lexicon.PRONOUNS), ("pronoun_sums_compat", lexicon.PRONOUNS_COMPAT)):

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators.assembly import hashed
 from textloom.sources.files import read_blocks
 
 # Outer tags of bracketed entity files and the types that they stand for; others are MISC.
@@ -102,7 +103,7 @@ def plain_sentences(words: DataFrame, key: list[str]) -> DataFrame:
 
 def model_corpus(lines: DataFrame, parts: int, seed: int = 1234) -> DataFrame:
     """Lines in random order with a shard: part 0 is dev, part 1 test, the rest train."""
-    part = F.pmod(F.xxhash64("value", F.lit(seed)), F.lit(parts)).cast("int")
+    part = F.pmod(hashed("value", seed=seed), F.lit(parts)).cast("int")
     return lines.withColumn("part", part).withColumn("shard", F.when(part == 0, "dev").when(part == 1, "test").otherwise("train"))
 
 

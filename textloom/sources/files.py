@@ -45,6 +45,11 @@ def read_pretty(spark: SparkSession, path, schema: str = SUMMARY) -> DataFrame:
     return one.select(F.from_json("v", schema).alias("r")).select("r.*")
 
 
+def write_pretty(df: DataFrame, path: str, mode: str = "append") -> None:
+    """One indented object after the other."""
+    df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.mode(mode).text(path)
+
+
 def write_by_value(df: DataFrame, path: str, column: str, mode: str = "overwrite") -> None:
     """One folder for each value, - and . as _ in its name."""
     df.withColumn(f"{column}_slug", F.translate(column, "-.", "__")).write.mode(mode).partitionBy(f"{column}_slug").json(path)
@@ -69,6 +74,13 @@ def read_blocks(spark: SparkSession, path) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^\n+|\n+$", "").alias("value")).where("trim(value) <> ''")
 
 
+def read_ordered_blocks(spark: SparkSession, path) -> DataFrame:
+    """Blocks of whole files with their number in the file: (name, sent, value); the name is that of the file without its folder."""
+    df = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1).alias("name"), "value")
+    pieces = F.filter(F.split("value", "\r?\n(?:[ \t]*\r?\n)+"), lambda b: F.trim(b) != "")
+    return df.select("name", F.posexplode(F.transform(pieces, lambda b: F.regexp_replace(b, "^\n+|\n+$", ""))).alias("sent", "value"))
+
+
 def write_blocks(df: DataFrame, path: str, column: str = "value", mode: str = "overwrite") -> None:
     df.select(F.col(column).alias("value")).write.mode(mode).option("lineSep", "\n\n").text(path)
 

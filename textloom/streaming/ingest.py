@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textloom.functions import text as X
+from textloom.session import exists
 from textloom.sources.files import ENTRY
 
 
@@ -32,15 +33,15 @@ def ingest(stream: DataFrame, out: str, skipped: str, checkpoint: str, annotate:
     """Writes annotated rows to ``out`` and the others, with reasons, to ``skipped`` (Parquet)."""
 
     def done(spark: SparkSession, path: str) -> DataFrame:
-        try:
-            return spark.read.parquet(path).select("id")
-        except Exception:  # nothing written yet
+        if not exists(spark, path):  # nothing written yet; a folder that cannot be read is an error
             return spark.createDataFrame([], "id string")
+        return spark.read.parquet(path).select("id")
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         rows = df.where("id is not null").dropDuplicates(["id"])
-        rows = prepare(rows).join(done(spark, out), "id", "left_anti").join(done(spark, skipped), "id", "left_anti").persist()
+        seen = done(spark, out).unionByName(done(spark, skipped)).join(rows.select("id"), "id", "left_semi")
+        rows = prepare(rows.join(seen, "id", "left_anti")).persist()
         try:
             annotate(rows.where("skipped is null").drop("skipped")).write.mode("append").parquet(out)
             rows.where("skipped is not null").select("id", "text", "skipped").write.mode("append").parquet(skipped)

@@ -40,7 +40,7 @@ def read_two_pieces(spark: SparkSession, path, sep: str = "\t", encoding: str =
 def read_named_columns(spark: SparkSession, path, tag_column: int = 6) -> DataFrame:
     """(file, sent, pos, token, tag) of CoNLL-U Plus files, whose first line names the columns; a file without that line is an error."""
     b = read_blocks(spark, path).withColumn("sent", F.monotonically_increasing_id())
-    r = b.select("file", "sent", F.posexplode(F.split("value", "\n")).alias("pos", "x")).where("x not like '#%' and x <> ''").withColumn("c", F.split("x", "\t"))
+    r = b.select("file", "sent", F.posexplode(F.filter(F.split("value", "\n"), lambda x: ~x.startswith("#") & (x != ""))).alias("pos", "x")).withColumn("c", F.split("x", "\t"))
     heads = b.groupBy("file").agg(F.max(F.col("value").contains("# global.columns")).alias("ok"))
     r = r.join(heads, "file").withColumn("c", F.when(F.col("ok"), F.col("c")).otherwise(F.raise_error(F.concat(F.lit("no column names in "), "file")).cast("array<string>")))
     return r.select("file", "sent", "pos", F.get("c", F.lit(1)).alias("token"), F.get("c", F.lit(tag_column - 1)).alias("tag"))

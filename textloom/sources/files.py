@@ -154,8 +154,8 @@ def read_labelled(spark: SparkSession, path, label: int, text: int, labels: dict
 
 def read_last_character_labels(spark: SparkSession, path) -> DataFrame:
     """Lines whose last character is the label 0 or 1, given as 0 and 2."""
-    v = F.rtrim("value")
-    return spark.read.text(path).where("trim(value) <> ''").select(F.when(F.right(v, F.lit(1)) == "1", 2).otherwise(0).alias("label"), F.trim(F.expr("left(rtrim(value), length(rtrim(value)) - 1)")).alias("text"))
+    v = F.regexp_replace("value", r"\s+$", "")
+    return spark.read.text(path).where("trim(value) <> ''").select(F.when(F.right(v, F.lit(1)) == "1", 2).otherwise(0).alias("label"), F.regexp_replace(F.substring(v, F.lit(1), F.length(v) - 1), r"^\s+|\s+$", "").alias("text"))
 
 
 def read_xml(spark: SparkSession, path, row_tag: str, schema: str) -> DataFrame:

@@ -143,7 +143,7 @@ def score_table(scored: DataFrame, counts: bool = False) -> DataFrame:
         cells = [F.lpad(F.col(c).cast("string"), 9, " ") for c in ("correct", "gold_total", "system_total")]
         head = "Metric     |  Correct |      Gold |    System"
     else:
-        cells = [F.lpad(F.format_number(100 * F.col(c), "0.00"), 9, " ") for c in ("precision", "recall", "f1")]
+        cells = [F.lpad(F.format_string("%.2f", 100 * F.col(c)), 9, " ") for c in ("precision", "recall", "f1")]
         head = "Metric     | Precision |    Recall |  F1 Score"
     body = scored.select(place.alias("at"), F.concat_ws(" | ", F.rpad("metric", 10, " "), *cells).alias("line"))
     top = scored.sparkSession.createDataFrame([(-2, head), (-1, "-----------+" * 3 + "-----------")], "at int, line string")
@@ -152,7 +152,7 @@ def score_table(scored: DataFrame, counts: bool = False) -> DataFrame:
 
 def selected(scored: DataFrame, metrics: list[str]) -> DataFrame:
     """(scores): F1 of the chosen metrics in per cent, in the given order, side by side."""
-    of = {m: F.max(F.when(F.col("metric") == m, F.format_number(100 * F.col("f1"), "0.00"))) for m in metrics}
+    of = {m: F.max(F.when(F.col("metric") == m, F.format_string("%.2f", 100 * F.col("f1")))) for m in metrics}
     return scored.agg(*(c.alias(m) for m, c in of.items())).select(F.concat_ws(" ", *metrics).alias("scores"))
 
 

@@ -20,7 +20,7 @@ def windows(text: Column, shortest: int = 10, longest: int = 50) -> Column:
     full = lambda a, w: F.length(a["cur"]) > 0
     step = lambda a, w: F.when(full(a, w) & (F.length(a["cur"]) + F.length(w) + 1 > longest), F.struct(F.array_append(a["done"], a["cur"]).alias("done"), w.alias("cur"))).otherwise(F.struct(a["done"].alias("done"), add(a, w).alias("cur")))
     out = F.aggregate(words, F.struct(none.alias("done"), F.lit("").alias("cur")).cast(t), lambda a, w: step(a, w).cast(t), lambda a: F.array_append(a["done"], a["cur"]))
-    return F.filter(F.transform(out, F.trim), lambda x: F.length(x) >= shortest)
+    return F.filter(F.transform(out, lambda x: F.trim(x)), lambda x: F.length(x) >= shortest)
 
 
 def batches(sizes: Column, capacity: int, alone_above: int | None = None) -> Column:

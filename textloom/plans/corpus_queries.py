@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.functions import lexicon
 from textloom.functions import text as X
 from textloom.operators import assembly as B
 from textloom.operators import conllu as C
@@ -15,6 +16,8 @@ from textloom.operators import vocab as V
 from textloom.plans.registry import query
 from textloom.session import table
 
+# Unicode's white space, for engines whose \\s is ASCII only
+WS = r"[\s\x{0B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _W = "WITH w AS (SELECT unnest(string_split(cleaned_text, ' ')) AS word FROM entries)"
 
 
@@ -136,7 +139,10 @@ def space_after_detok(spark, sf_dir):
     return C.detokenized(C.words(_conllu(spark, sf_dir)), ["sent"])
 
 
-@query("conllu_render")
+_NUMBERED = f"WITH w AS (SELECT sent, pos, form, row_number() OVER (PARTITION BY sent ORDER BY pos) AS i, CASE length(form) WHEN 2 THEN 'NOUN' ELSE 'VERB' END AS upos {_SENT})"
+
+
+@query("conllu_render", _NUMBERED + " SELECT sent, string_agg(concat_ws(chr(9), i, form, upper(form), upos, '_', concat('Number=', length(form)), i - 1, CASE WHEN i = 1 THEN 'root' ELSE 'dep:x' END, '_', CASE WHEN pos % 3 = 0 THEN 'SpaceAfter=No' ELSE '_' END), chr(10) ORDER BY i) AS value FROM w GROUP BY sent")
 def conllu_render(spark, sf_dir):
     return C.render(C.words(_conllu(spark, sf_dir)), ["sent"])
 
@@ -146,7 +152,7 @@ def conllu_spans(spark, sf_dir):
     return C.spans(C.words(_conllu(spark, sf_dir)), ["sent"]).select("sent", "id_start", "begin", "end")
 
 
-@query("conllu_problems")
+@query("conllu_problems", _NUMBERED + ", s AS (SELECT sent, bool_or(form = 'p7') AS hit, arg_max(form, i) = 'p7' AS last FROM w GROUP BY sent) SELECT sent, CASE WHEN last THEN 'head outside' ELSE 'cycle' END AS problem FROM s WHERE hit")
 def conllu_problems(spark, sf_dir):
     w = C.words(_conllu(spark, sf_dir))
     # every word with the form p7 points ahead of itself: to the word after, or out of the sentence
@@ -166,7 +172,10 @@ def uas_las(spark, sf_dir):
     return _scored(spark, sf_dir).where("metric in ('Words', 'UPOS', 'UAS', 'LAS')").select("metric", "correct", "gold_total", "system_total", "f1")
 
 
-@query("ud_metrics")
+@query("ud_metrics", f"""WITH w AS (SELECT sent, form, row_number() OVER (PARTITION BY sent ORDER BY pos) AS i {_SENT}), t AS (SELECT *, NOT form LIKE '%5' AS u, i = 1 OR NOT form LIKE '%3' AS a, i = 1 OR NOT form LIKE '%7' AS r FROM w),
+f AS (SELECT count(*) AS n, count(DISTINCT sent) AS s, count(*) FILTER (u) AS u, count(*) FILTER (a) AS a, count(*) FILTER (a AND r) AS l, count(*) FILTER (a AND r AND u) AS m FROM t),
+x AS (SELECT unnest(['Tokens', 'Sentences', 'Words', 'UPOS', 'XPOS', 'UFeats', 'AllTags', 'Lemmas', 'UAS', 'LAS', 'CLAS', 'MLAS', 'BLEX']) AS metric, unnest([n, s, n, u, n, n, u, n, a, l, l, m, l]) AS correct, unnest([n, s, n, n, n, n, n, n, n, n, n, n, n]) AS total FROM f)
+SELECT metric, correct, total AS gold_total, total AS system_total, correct / total::DOUBLE AS precision, correct / total::DOUBLE AS recall, correct / total::DOUBLE AS f1 FROM x""")
 def ud_metrics(spark, sf_dir):
     return _scored(spark, sf_dir)
 
@@ -247,7 +256,7 @@ def fraction_split(spark, sf_dir):
     return B.exact_split(p, [F.asc("p_name"), F.asc("p_partkey")], {"train": 0.7, "dev": 0.15, "test": 0.15}).select("p_partkey", "shard")
 
 
-@query("seeded_split")
+@query("seeded_split", "WITH h AS (SELECT doc_id, ('0x' || substr(md5(concat(doc_id, '|1234')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS h FROM documents) SELECT doc_id, CASE WHEN h < 0.8 THEN 'train' WHEN h < 0.8::DOUBLE + 0.1::DOUBLE THEN 'dev' ELSE 'test' END AS shard FROM h")
 def seeded_split(spark, sf_dir):
     return B.hash_split(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], {"train": 0.8, "dev": 0.1, "test": 0.1})
 
@@ -258,28 +267,47 @@ def masked_share(spark, sf_dir):
     return B.blank_share(w)
 
 
-@query("packed_windows")
+@query("packed_windows", f"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '{WS}', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, list_reduce(w, lambda a, x: CASE WHEN length(a.cur) > 0 AND length(a.cur) + length(x) + 1 > 50 THEN {{'done': list_append(a.done, a.cur), 'cur': x}} ELSE {{'done': a.done, 'cur': ltrim(a.cur || ' ' || x)}} END, {{'done': []::VARCHAR[], 'cur': ''}}) AS r FROM w),
+f AS (SELECT doc_id, list_filter(list_transform(list_append(r.done, r.cur), lambda x: trim(x)), lambda x: length(x) >= 10) AS f FROM r)
+SELECT doc_id, CAST(unnest(range(len(f))) AS INTEGER) AS no, unnest(f) AS window FROM f""")
 def packed_windows(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(P.windows(X.squash(F.col("text")))).alias("no", "window"))
 
 
-@query("packed_batches")
+@query("packed_batches", """WITH d AS (SELECT source, doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL), g AS (SELECT source, CAST(ceil(count(*) / 20000.0) AS BIGINT) AS parts FROM d GROUP BY source),
+p AS (SELECT d.*, CAST(('0x' || substr(md5(concat(doc_id, '|0')), 1, 8))::BIGINT % parts AS INTEGER) AS part FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+l AS (SELECT source, part, list(doc_id ORDER BY n DESC, doc_id) AS ids, list(n ORDER BY n DESC, doc_id) AS ns FROM p GROUP BY ALL),
+r AS (SELECT source, part, ids, list_reduce(ns, lambda a, x: {'out': list_append(a.out, a.cur + (a.open AND (x > 8000 OR a.size + x > 8000))::INT), 'cur': a.cur + (a.open AND (x > 8000 OR a.size + x > 8000))::INT + (x > 8000)::INT,
+  'size': CASE WHEN x > 8000 THEN 0 WHEN a.open AND a.size + x > 8000 THEN x ELSE a.size + x END, 'open': x <= 8000}, {'out': []::INTEGER[], 'cur': 0, 'size': 0::BIGINT, 'open': false}).out AS b FROM l)
+SELECT source, part, unnest(ids) AS doc_id, CAST(unnest(b) AS INTEGER) AS batch FROM r""")
 def packed_batches(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", F.length("text").alias("n")).withColumn("part", F.concat_ws("/", "source", F.pmod(F.xxhash64("doc_id"), F.lit(16))))
-    return P.length_sorted_batches(d, "part", "doc_id", "n", 8000, 8000)
+    d = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", F.length("text").cast("bigint").alias("n"))
+    return P.length_sorted_batches(d, "source", "doc_id", "n", 8000, 8000)
+
 
+_CLEANED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://t\.co/[a-zA-Z0-9]+', ' ', 'g'), '@[a-zA-Z0-9_]+', ' ', 'g'), '#[a-zA-Z]+', ' ', 'g'), '[!.]+', ' ', 'g'), '[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B50}\x{2B55}\x{FE0F}\x{200D}]', ' ', 'g')"
 
-@query("langid_clean", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://t\.co/[a-zA-Z0-9]+', ' ', 'g'), '@[a-zA-Z0-9_]+', ' ', 'g'), '#[a-zA-Z]+', ' ', 'g'), '[!.]+', ' ', 'g'), E' \t\r\n') AS clean FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x20-\x7e\n]*') AND trim(text, E' \n') <> ''")
+
+@query("langid_clean", f"WITH c AS (SELECT doc_id, {_CLEANED} AS c FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN regexp_replace(c, '{WS}', '', 'g') = '' THEN c ELSE regexp_replace(c, '^{WS}|{WS}$', '', 'g') END AS clean FROM c")
 def langid_clean(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.langid_clean(F.col("text")).alias("clean"))
 
 
-@query("tweet_clean")
+@query("tweet_clean", f"""WITH t AS (SELECT id, list_filter(string_split_regex(body, '{WS}'), lambda w: w <> '') AS t FROM entries WHERE body IS NOT NULL),
+d AS (SELECT id, t, CASE WHEN len(t) > 3 AND t[1] = 'RT' AND t[2] LIKE '@%' AND t[3] = ':' THEN 3 WHEN len(t) > 4 AND t[1] = 'RT' AND t[2] = '@' AND t[4] = ':' THEN 4 WHEN coalesce(t[1], '') LIKE '@%' THEN 1 ELSE 0 END AS d FROM t)
+SELECT id, coalesce(array_to_string(list_transform(list_transform(t[d + 1 :], lambda w: regexp_replace(w, '^[@#]', '')), lambda w: CASE WHEN regexp_matches(w, '^https?:') THEN ' ' ELSE w END), ' '), '') AS tweet FROM d""")
 def tweet_clean(spark, sf_dir):
     return table(spark, sf_dir, "entries").where("body is not null").select("id", F.array_join(X.tweet_tokens(X.words(F.col("body"))), " ").alias("tweet"))
 
 
-@query("clean_text")
+def _cleaned_sql(c: str, steps) -> str:
+    for pattern, into in steps:
+        c = f"regexp_replace({c}, '{pattern.replace(chr(39), chr(39) * 2)}', '{into.replace('$1', chr(92) + '1').replace(chr(39), chr(39) * 2)}', 'g')"
+    return f"trim(regexp_replace({c}, '{WS}', ' ', 'g'))"
+
+
+@query("clean_text", f"SELECT doc_id, {_cleaned_sql('lower(text)', lexicon.CLEAN_PIPELINE)} AS clean FROM documents")
 def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.clean(F.lower("text")).alias("clean"))
 
@@ -298,7 +326,8 @@ def graph_pattern(spark, sf_dir):
     return K.match_graph(w, ["sent"], "{upos:NOUN}=noun >dep:x {upos:VERB;form:/p[1-5]./}=verb")
 
 
-@query("token_runs")
+@query("token_runs", _POS + """, l AS (SELECT sent, string_agg('<' || form || '|' || upos || '>', '' ORDER BY i) AS l FROM w GROUP BY sent), r AS (SELECT sent, unnest(regexp_extract_all(l, '(?:<[^|<>]*\\|NOUN>)(?:<[^|<>]*\\|VERB>)+')) AS r FROM l)
+SELECT sent, array_to_string(list_transform(list_filter(string_split_regex(r, '[<>]'), lambda x: x <> ''), lambda x: split_part(x, '|', 1)), ' ') AS run FROM r""")
 def token_runs(spark, sf_dir):
     g = C.words(_conllu(spark, sf_dir)).groupBy("sent").agg(F.array_sort(F.collect_list(F.struct("id_start", F.col("form").alias("text"), "upos"))).alias("t"))
     return g.select("sent", F.explode(K.match_runs(F.col("t"), "{upos:NOUN} {upos:VERB}+", ["text", "upos"])).alias("run"))

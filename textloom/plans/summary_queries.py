@@ -157,7 +157,14 @@ def dedup_ids(spark, sf_dir):
     return table(spark, sf_dir, "entries").where("id is not null").groupBy("id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("copies"))
 
 
-@query("skip_categories")
+def _skip_sql() -> str:
+    re2 = lambda p: p.replace("(?iU)", "(?i)").replace("'", "''")
+    main = " ".join(f"WHEN regexp_matches(x, '{re2(p)}') THEN '{n}'" for n, p in lexicon.SKIPPED)
+    sub = " ".join(f"WHEN regexp_matches(x, '{re2(p)}') THEN '{n}'" for n, p in lexicon.SKIPPED_SUB)
+    return _LEN.split(",\nl AS")[0] + f", c AS (SELECT CASE {main} ELSE 'other' END AS m, CASE {sub} ELSE 'chatgpt_other' END AS s FROM t) SELECT m AS category, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT s, count(*) FROM c WHERE m = 'chatgpt_mentions' GROUP BY ALL"
+
+
+@query("skip_categories", _skip_sql())
 def skip_categories(spark, sf_dir):
     c = table(spark, sf_dir, "entries").select(F.explode(X.skip_category(X.entry_text())).alias("category"))
     return c.groupBy("category").agg(F.count(F.lit(1)).alias("n"))

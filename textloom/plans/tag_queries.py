@@ -136,7 +136,7 @@ def confusion_row_pct(spark, sf_dir):
     return T.row_percent(T.condense(_confusion(spark, sf_dir)))
 
 
-@query("confusion_table", _CONF + " SELECT gold, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (pred = '{x}'), 0) AS BIGINT) AS \"{x}\"" for x in ("AIR", "MAIL", "SHIP")) + " FROM s GROUP BY gold")
+@query("confusion_table", _CONF + " SELECT gold, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (pred = '{x}'), 0) AS BIGINT) AS \"{x}\"" for x in ("AIR", "MAIL", "REG AIR", "SHIP")) + " FROM s GROUP BY gold")
 def confusion_table(spark, sf_dir):
     return T.confusion_table(T.condense(_confusion(spark, sf_dir)), ["AIR", "MAIL", "REG AIR", "SHIP"])
 

@@ -190,6 +190,11 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.split(c, r"\n\s*\n"), lambda p: F.trim(p) != "")
 
 
+def paragraph_break(c: Column, at: Column) -> Column:
+    """Length of the paragraph break (two line breaks with only white space between) that begins at a place from 0; 0 if none does."""
+    return F.length(F.regexp_extract(F.substring(c, at + 1, F.length(c)), r"^\n\s*\n", 0))
+
+
 def runs_without(c: Column, mark: str) -> Column:
     """(begin, end) of maximal runs of array elements other than ``mark``."""
     inside = lambda i: (i >= 0) & (i < F.size(c)) & (F.coalesce(F.get(c, i), F.lit("")) != mark)

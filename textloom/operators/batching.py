@@ -77,3 +77,17 @@ def text_table(df: DataFrame, columns: list[str], pad: int = 3) -> DataFrame:
     head = w.select(row([F.lit(c) for c in columns]).alias("line"), F.lit(0).alias("at"))
     lines = body.select(row([F.col(f"c{i}") for i in range(len(columns))]).alias("line"), F.lit(1).alias("at"))
     return head.unionByName(lines).orderBy("at", "line").select("line")
+
+
+def best_steps(scores: Column, so_far: Column, k: int) -> Column:
+    """One step of a beam: of all (beam, unit) pairs the k best sums, as structs (score, beam, unit), ties by beam and unit.
+
+    ``scores`` is an array of arrays, one for each beam; ``so_far`` the sum of each beam.
+    """
+    pairs = F.flatten(F.transform(scores, lambda row, b: F.transform(row, lambda s, u: F.struct((-(F.get(so_far, b) + s)).alias("_o"), b.alias("beam"), u.alias("unit")))))
+    return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda x: F.struct((-x["_o"]).alias("score"), x["beam"].alias("beam"), x["unit"].alias("unit")))
+
+
+def options_of(prefix: str, options: dict[str, object]) -> dict[str, object]:
+    """Options of one step from ``step_option`` keys, without the step's name."""
+    return {k[len(prefix) + 1 :]: v for k, v in options.items() if k.startswith(f"{prefix}_")}

@@ -89,12 +89,12 @@ def joined_final_mark(block: Column) -> Column:
 
 
 def joined_comma(block: Column) -> Column:
-    """The block with the space before its first comma removed; null where it does not apply."""
+    """The block with the space before its first comma removed, in the text and transliteration lines each at its own first comma; null where it does not apply."""
     x = _lines(block)
     text = F.get(x, F.lit(1))
     at = F.instr(text, ",")  # from 1
     fits = F.right(text, F.lit(1)).isin(*TELUGU_MARKS) & ~text.endswith(". . .") & (at > 2)
-    cut = lambda v: F.concat(F.substring(v, F.lit(1), at - 2), F.substring(v, at, F.length(v)))
+    cut = lambda v: F.when(F.instr(v, ",") > 2, F.concat(F.substring(v, F.lit(1), F.instr(v, ",") - 2), F.substring(v, F.instr(v, ","), F.length(v)))).otherwise(v)
     commas = F.transform(x, lambda v, i: (i >= 4) & (F.get(F.split(v, "\t"), F.lit(1)) == ","))
     first = F.array_position(commas, True) - 1
     return F.when(fits, _joined(F.transform(x, lambda v, i: F.when((i == 1) | (i == 2), cut(v)).when((first > 0) & (i == first - 1), _no_space(v)).otherwise(v))))

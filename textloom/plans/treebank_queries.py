@@ -559,3 +559,15 @@ def routed_by_language(spark, sf_dir):
 def identity_lemmas(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
     return A.REGISTRY.chain("sentences", "tokens", "lemmas")(d).select("doc_id", F.size("lemmas").alias("sentences"), (F.col("lemmas") == F.col("tokens")).alias("same"))
+
+
+@query("trees_retagged", f"SELECT p_partkey AS tree_id, concat('(S (NP (T', length({_A}), ' ', {_A}, ') (T', length({_B}), ' ', {_B}, ')))') AS tree FROM part")
+def trees_retagged(spark, sf_dir):
+    t = table(spark, sf_dir, "part").selectExpr("p_partkey AS tree_id", f"{_PLAIN_TREE} AS tree")
+    return T.retagged(t, lambda words: [f"T{len(w)}" for w in words])
+
+
+@query("beam_step", "WITH s AS (SELECT p_partkey, unnest([0, 0, 1, 1]) AS beam, unnest([0, 1, 0, 1]) AS unit, unnest([1 + p_size % 3, 1 + 2, 2 + p_size % 5, 2 + 1])::DOUBLE AS score FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, beam, unit) AS r FROM s) SELECT p_partkey, CAST(beam AS INTEGER) AS beam, CAST(unit AS INTEGER) AS unit, score FROM r WHERE r <= 2")
+def beam_step(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", K.best_steps(F.expr("array(array(double(p_size % 3), 2D), array(double(p_size % 5), 1D))"), F.expr("array(1D, 2D)"), 2).alias("b"))
+    return p.select("p_partkey", F.inline("b")).select("p_partkey", "beam", "unit", "score")

@@ -49,6 +49,23 @@ def test_gradient_of_pairs_is_the_pairwise_sum():
     assert np.allclose(m.scores([s, [2]])[0], want, atol=1e-4)
 
 
+def test_pairs_are_learned_that_a_linear_model_misses():
+    """What is said of whom decides; no word alone does, and the two never stand side by side."""
+    r = random.Random(4)
+    says, of = {1: ["dreadful", "rotten"], -1: ["lovely", "splendid"]}, {1: ["plumfolk", "tarnfolk"], -1: ["lamps", "desks"]}
+    rows = []
+    for _ in range(800):
+        a, b = r.choice([1, -1]), r.choice([1, -1])
+        rows.append((f"{r.choice(says[a])} {r.choice(THINGS)} and {r.choice(THINGS)} {r.choice(of[b])}", a * b > 0))
+    reader = A.Reader(TERMS)
+    docs, y = [reader.sentences(t) for t, _ in rows], np.array([[0, bad, 0] for _, bad in rows], np.float32)
+    right = {}
+    for pairs in (True, False):
+        z = A.Machine().fit(docs[:600], y[:600], epochs=40, pairs=pairs).worst(docs[600:])[:, 1]
+        right[pairs] = np.mean((z > 0) == y[600:, 1].astype(bool))
+    assert right[True] > 0.95 and right[False] < 0.75, right
+
+
 @pytest.mark.parametrize("masked", ["m0r0n", "M O R O N", "mooooron", "mоron", "m***n", "mo​ron", "ｍｏｒｏｎ"])
 def test_masks(spark, masked):
     reader = A.Reader(TERMS, L.confusables(spark))

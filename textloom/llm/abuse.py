@@ -132,10 +132,11 @@ class Machine:
             out.append(self.bias + np.add.reduceat(self.linear[flat], starts) + pairs)
         return np.concatenate(out)
 
-    def fit(self, docs: list[list[list[int]]], labels: np.ndarray, epochs: int = 14, batch: int = 256, rate: float = 0.03, decay: float = 0.02, sharp: float = 3.0, least: int = 3, seed: int = 7) -> Machine:
+    def fit(self, docs: list[list[list[int]]], labels: np.ndarray, epochs: int = 14, batch: int = 256, rate: float = 0.03, decay: float = 0.02, sharp: float = 3.0, least: int = 3, seed: int = 7, pairs: bool = True) -> Machine:
         """Logistic loss of the soft worst sentence; Adam with weight decay on the buckets that a batch touches.
 
-        Features of fewer than ``least`` comments stay out: they could only be learned by heart.
+        Features of fewer than ``least`` comments stay out: they could only be learned by heart. Without ``pairs`` the
+        factors stay zero, which leaves a linear model.
         """
         rng = np.random.default_rng(seed)
         rows = [(d, y) for d, y in zip(docs, labels, strict=True) if d]
@@ -147,7 +148,8 @@ class Machine:
         if not rows:
             return self
         seen = np.flatnonzero(often)
-        self.factors[seen] = rng.normal(0, 0.05, (len(seen), 3 * FACTORS)).astype(np.float32)
+        if pairs:
+            self.factors[seen] = rng.normal(0, 0.05, (len(seen), 3 * FACTORS)).astype(np.float32)
         params, lasting = (self.linear, self.factors), (self.linear.copy(), 0.0)
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         b1, b2 = np.zeros(3, np.float32), np.zeros(3, np.float32)
@@ -195,20 +197,35 @@ class Machine:
         return out
 
 
-def fit_cleaned(docs: list[list[list[int]]], labels: np.ndarray, folds: int = 3, doubt: float = 2.5) -> Machine:
-    """Fits twice: labels that a machine fitted on the other folds contradicts clearly are raters' errors and stay out."""
-    n = len(docs)
-    fold = np.arange(n) % folds
-    keep = np.ones(n, bool)
-    for k in range(folds):
-        other = np.flatnonzero(fold != k)
-        own = np.flatnonzero(fold == k)
-        if not len(own) or not len(other):
-            continue
-        z = Machine().fit([docs[i] for i in other], labels[other], epochs=10).worst([docs[i] for i in own])
-        y = labels[own].astype(bool)
-        keep[own] = ~((y & (z < -doubt)).any(axis=1) | (~y & (z > doubt)).any(axis=1))
-    chosen = np.flatnonzero(keep)
+def _kept(docs: list[list[list[int]]], labels: np.ndarray, fold: int, folds: int, doubt: float) -> list[tuple[int, bool]]:
+    """Of one fold's rows, whether the machine fitted on the other folds leaves their label standing."""
+    own, other = [i for i in range(len(docs)) if i % folds == fold], [i for i in range(len(docs)) if i % folds != fold]
+    if not own or not other:
+        return [(i, True) for i in own]
+    z = Machine().fit([docs[i] for i in other], labels[other], epochs=10).worst([docs[i] for i in own])
+    y = labels[own].astype(bool)
+    wrong = (y & (z < -doubt)).any(axis=1) | (~y & (z > doubt)).any(axis=1)
+    return [(i, not w) for i, w in zip(own, wrong.tolist(), strict=True)]
+
+
+def fit_cleaned(docs: list[list[list[int]]], labels: np.ndarray, folds: int = 3, doubt: float = 2.5, spark=None) -> Machine:
+    """Fits twice: labels that a machine fitted on the other folds contradicts clearly are raters' errors and stay out.
+
+    With a session the folds are fitted by tasks side by side; the sample is bounded, and so is what is broadcast.
+    """
+    if spark is None:
+        kept = [x for k in range(folds) for x in _kept(docs, labels, k, folds, doubt)]
+    else:
+        shared = spark.sparkContext.broadcast((docs, labels))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for k in b["id"]:
+                    yield pd.DataFrame(_kept(*shared.value, int(k), folds, doubt), columns=["i", "keep"])
+
+        rows = spark.range(0, folds, 1, folds).mapInPandas(run, "i bigint, keep boolean").collect()  # one row for each of the sample
+        kept = [(r.i, r.keep) for r in rows]
+    chosen = np.array(sorted(i for i, keep in kept if keep), int)
     return Machine().fit([docs[i] for i in chosen], labels[chosen])
 
 
@@ -241,7 +258,7 @@ def train(entries: DataFrame, labels: DataFrame, terms: DataFrame, per_label: in
     sample = labelled_sample(_comments(entries).where("body is not null").select("id", "body"), labels, per_label)
     if sample:
         y = np.array([[label == c for c in CATEGORIES] for _, label in sample], np.float32)
-        machine = fit_cleaned([reader.sentences(b) for b, _ in sample], y)
+        machine = fit_cleaned([reader.sentences(b) for b, _ in sample], y, spark=entries.sparkSession)
     return machine, rows
 
 

@@ -5,8 +5,11 @@
 2. Every window of ``length`` units holds exactly one run of 2**rounds shorter windows. Its anchor is the
    smallest Rabin-Karp hash in that run (winnowing), so equal windows have equal anchors, wherever they stand.
    Anchors are counted in Spark; a window whose anchor only one document has occurs once and is left out.
-3. Of the other windows the Rabin-Karp hash over ``length`` units is counted in Spark (smallest and
-   largest document per hash, combined before the shuffle), and the windows that two documents have merge into
+3. Neighbouring windows with the same anchor are a run, known by one hash over all its text. A run that two documents have
+   is shared as a whole; inside long shared spans that is nearly every run, so their windows need no rows.
+4. Runs that only one document has lie at the borders of spans. There, the Rabin-Karp hash of every window of ``length``
+   units is counted in Spark (smallest and largest document per hash, combined before the shuffle), together with
+   two copies of every different shared run around the same anchors. Shared runs and repeated windows merge into
    maximal removal intervals.
 
 Nothing is capped: the anchors only leave out windows that provably occur once. A window is known by 93 bits (three
@@ -53,27 +56,28 @@ def _power_table(p: int, base: int, n: int) -> np.ndarray:
     return t[:n]
 
 
-def _window_hash(codes: np.ndarray, size: int, k: int) -> np.ndarray:
-    n = len(codes) - size + 1
+def _range_hash(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """Rabin-Karp hash of codes[begin:end] for each pair, by one of the primes, independent of where it stands."""
     p, base = _PRIMES[k], _BASES[k]
-    up, down = _power_table(p, base, len(codes)), _power_table(p, pow(base, -1, p), n)
-    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(codes * up % p)])
-    return (total[size:] - total[:n]) % p * down % p
+    c = codes.astype(np.int64) % (1 << 31) + 1
+    up, down = _power_table(p, base, len(c)), _power_table(p, pow(base, -1, p), len(c))
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(c * up % p)])
+    return (total[ends] - total[begins]) % p * down[begins] % p
+
+
+def range_hashes(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """62 bits and 31 more."""
+    first, second, third = (_range_hash(codes, begins, ends, k) for k in range(3))
+    return (first << 31) | second, third.astype(np.int32)
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     """62-bit Rabin-Karp hash of every window of ``size`` units, independent of its position."""
-    if len(codes) < size:
+    n = len(codes) - size + 1
+    if n <= 0:
         return np.zeros(0, np.int64)
-    c = codes.astype(np.int64) % (1 << 31) + 1
-    return (_window_hash(c, size, 0) << 31) | _window_hash(c, size, 1)
-
-
-def check_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """31 more bits of the same windows."""
-    if len(codes) < size:
-        return np.zeros(0, np.int32)
-    return _window_hash(codes.astype(np.int64) + 1, size, 2).astype(np.int32)
+    at = np.arange(n)
+    return (_range_hash(codes, at, at + size, 0) << 31) | _range_hash(codes, at, at + size, 1)
 
 
 def rounds_of(length: int) -> int:
@@ -156,8 +160,9 @@ def _anchor_rows(length: int, unit: str):
     return run
 
 
-def _window_rows(length: int, unit: str):
-    schema = pa.schema([("w", pa.int64()), ("v", pa.int32()), ("h", pa.int64()), ("start", pa.int64())])
+def _run_rows(length: int, unit: str):
+    """(w, v, n, fp, h, start): the runs of windows with the same anchor, of those anchors that another document has."""
+    schema = pa.schema([("w", pa.int64()), ("v", pa.int32()), ("n", pa.int64()), ("fp", pa.int64()), ("h", pa.int64()), ("start", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _units(unit)
@@ -165,13 +170,45 @@ def _window_rows(length: int, unit: str):
             h, shared = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
             for codes, at, doc, start in _lots(b.column(1).to_pylist(), units, length):
                 fp = window_anchors(codes, length)[at]
-                bounds = np.flatnonzero(np.diff(doc)) + 1
-                keep = np.zeros(len(at), bool)
-                for lo, hi in zip([0, *bounds], [*bounds, len(doc)], strict=True):
-                    keep[lo:hi] = np.isin(fp[lo:hi], shared[int(doc[lo])].values.to_numpy(zero_copy_only=False))
+                new = np.ones(len(fp), bool)
+                new[1:] = (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
+                first = np.flatnonzero(new)
+                n = np.diff(np.append(first, len(fp)))
+                keep = np.zeros(len(first), bool)
+                of = doc[first]
+                bounds = np.flatnonzero(np.diff(of)) + 1
+                for lo, hi in zip([0, *bounds], [*bounds, len(of)], strict=True):
+                    keep[lo:hi] = np.isin(fp[first[lo:hi]], shared[int(of[lo])].values.to_numpy(zero_copy_only=False))
                 if keep.any():
-                    w, v = window_hashes(codes, length)[at[keep]], check_hashes(codes, length)[at[keep]]
-                    yield pa.record_batch([pa.array(w), pa.array(v), pa.array(h[doc[keep]]), pa.array(start[keep])], schema=schema)
+                    first, n = first[keep], n[keep]
+                    w, v = range_hashes(codes, at[first], at[first] + n - 1 + length)
+                    yield pa.record_batch([pa.array(w), pa.array(v), pa.array(n), pa.array(fp[first]), pa.array(h[doc[first]]), pa.array(start[first])], schema=schema)
+
+    return run
+
+
+def _window_rows(length: int, unit: str):
+    """(w, v, h, start): every window of the given (start, n) ranges of each text."""
+    schema = pa.schema([("w", pa.int64()), ("v", pa.int32()), ("h", pa.int64()), ("start", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = _units(unit)
+        for b in batches:
+            for h, text, ranges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                codes = units(text)
+                # the ranges of a text one after the other; windows across two of them are not asked for
+                parts, at, starts, base = [], [], [], 0
+                for r in ranges:
+                    s, n = r["start"], r["n"]
+                    parts.append(codes[s : s + n - 1 + length])
+                    at.append(np.arange(base, base + n))
+                    starts.append(np.arange(s, s + n))
+                    base += n - 1 + length
+                    if base > _PIECE or r is ranges[-1]:
+                        a = np.concatenate(at)
+                        w, v = range_hashes(np.concatenate(parts), a, a + length)
+                        yield pa.record_batch([pa.array(w), pa.array(v), pa.array(np.full(len(a), h)), pa.array(np.concatenate(starts))], schema=schema)
+                        parts, at, starts, base = [], [], [], 0
 
     return run
 
@@ -191,15 +228,32 @@ def _prepare(docs: DataFrame, length: int, unit: str) -> tuple[DataFrame, DataFr
     marks = materialize(long.select(F.xxhash64("text").alias("h"), "text").mapInArrow(_anchor_rows(length, unit), "fp bigint, h bigint"), "anchors")
     hits = marks.join(_twice(marks, "fp"), "fp", "left_semi").groupBy("h").agg(F.collect_set("fp").alias("shared"))  # at most one text's anchors
     todo = classes.join(hits, "h").select(F.col("rep").alias("doc_id"), "h", "shared")
-    windows = materialize(long.join(todo, "doc_id").select("h", "text", "shared").mapInArrow(_window_rows(length, unit), "w bigint, v int, h bigint, start bigint"), "windows")
-    found = windows.join(_twice(windows, "w", "v"), ["w", "v"], "left_semi").select("h", "start")
-    return keyed, classes, found
+    some = materialize(long.join(todo, "doc_id").select("h", "text", "shared"), "candidates")
+    runs = some.mapInArrow(_run_rows(length, unit), "w bigint, v int, n bigint, fp bigint, h bigint, start bigint")
+    runs = materialize(runs, "runs")
+    key = ["w", "v", "n"]
+    known = runs.groupBy(*key).agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    marked = materialize(runs.join(known, key), "marked")
+    alone, both = marked.where("a = b"), marked.where("a <> b")
+    # a window at a border may also lie inside a shared run of the same anchor: two documents stand for each such run
+    near = both.where("h = a or h = b").join(alone.select("fp").distinct(), "fp", "left_semi").groupBy(*key, "h").agg(F.min("start").alias("start"))
+    ranges = alone.select("h", "start", "n").unionByName(near.select("h", "start", "n")).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("ranges"))  # of one text
+    windows = materialize(some.select("h", "text").join(ranges, "h").mapInArrow(_window_rows(length, unit), "w bigint, v int, h bigint, start bigint"), "windows")
+    found = windows.join(_twice(windows, "w", "v"), ["w", "v"], "left_semi").select("h", "start", F.lit(1).cast("bigint").alias("n"))
+    spans = both.select("h", "start", "n").unionByName(found).select("h", "start", (F.col("start") + F.col("n") - 1 + length).alias("stop"))
+    return keyed, classes, spans
+
+
+def _reach(spans: DataFrame) -> DataFrame:
+    """Adds ``before``: how far the spans of the same text that begin earlier reach."""
+    order = Window.partitionBy("h").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)  # of one text
+    return spans.withColumn("before", F.max("stop").over(order))
 
 
 def _shared(docs: DataFrame, length: int, unit: str) -> DataFrame:
-    keyed, classes, found = _prepare(docs, length, unit)
-    after = F.lead("start").over(Window.partitionBy("h").orderBy("start")) - F.col("start")  # of one text
-    covered = found.select("h", F.least(F.coalesce(after, F.lit(length)), F.lit(length)).alias("c")).groupBy("h").agg(F.sum("c").alias("covered"))
+    keyed, classes, spans = _prepare(docs, length, unit)
+    more = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("before", F.lit(0))))
+    covered = _reach(spans).groupBy("h").agg(F.sum(more).alias("covered"))
     by_class = classes.join(covered, "h", "left").where("copies > 1 or covered is not null").select("digest", "copies", "covered")
     return keyed.join(by_class, "digest").select("doc_id", "n", F.when(F.col("copies") > 1, F.col("n")).otherwise(F.col("covered")).cast("bigint").alias("shared"))
 
@@ -217,9 +271,9 @@ def shared_chars(docs: DataFrame, length: int = 250) -> DataFrame:
 def removal_intervals(docs: DataFrame, length: int = 250, unit: str = CHARS) -> DataFrame:
     """(doc_id, begin, end): maximal intervals of units, end excluded, that lie in shared spans."""
     keyed, classes, found = _prepare(docs, length, unit)
-    order = Window.partitionBy("h").orderBy("start")
-    islands = found.withColumn("new", (F.col("start") > F.lag("start").over(order) + length).cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(order))
-    spans = islands.groupBy("h", "island").agg(F.min("start").alias("begin"), (F.max("start") + length).alias("end")).drop("island")
+    order = Window.partitionBy("h").orderBy("start", "stop")
+    islands = _reach(found).withColumn("new", (F.col("start") > F.col("before")).cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(order))
+    spans = islands.groupBy("h", "island").agg(F.min("start").alias("begin"), F.max("stop").alias("end")).drop("island")
     whole = keyed.join(classes.where("copies > 1").select("digest"), "digest").select("doc_id", F.lit(0).cast("bigint").alias("begin"), F.col("n").alias("end"))
     single = classes.where("copies = 1").join(spans, "h").select(F.col("rep").alias("doc_id"), "begin", "end")
     return whole.unionByName(single)

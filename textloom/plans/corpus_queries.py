@@ -14,7 +14,7 @@ from textloom.operators import trees as T
 from textloom.operators import ud_scores as U
 from textloom.operators import vocab as V
 from textloom.plans.registry import query
-from textloom.session import table
+from textloom.session import materialize, table
 
 # Unicode's white space, for engines whose \\s is ASCII only
 WS = r"[\s\x{0B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -160,7 +160,7 @@ def conllu_problems(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    g = C.words(_conllu(spark, sf_dir))
+    g = materialize(C.words(_conllu(spark, sf_dir)), "words")  # both sides come from it
     s = g.withColumn("head", F.when(F.col("form").endswith("3"), 0).otherwise(F.col("head"))).withColumn("upos", F.when(F.col("form").endswith("5"), "ADJ").otherwise(F.col("upos"))).withColumn("deprel", F.when(F.col("form").endswith("7"), "root").otherwise(F.col("deprel")))
     return U.scores(g, s, ["sent"])
 

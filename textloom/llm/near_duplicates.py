@@ -28,6 +28,8 @@ ignored; copies are partners; empty tables give empty results; other columns are
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -42,7 +44,8 @@ from pyspark.sql import functions as F
 from textloom.session import materialize
 
 SEGMENTS, ROWS = 48, 6
-BUCKETS, LEVELS = 64, 2
+BUCKETS, LEVELS = 64, 3
+_CODES = tuple(f"t{k}" for k in range(1, LEVELS + 1))
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -110,7 +113,7 @@ def _class_rows(lo: int, hi: int):
 
 
 def _signature_rows(segments: int, rows: int):
-    schema = pa.schema([("cls", pa.int64()), ("bag", pa.list_(pa.string())), ("n", pa.int32()), ("t1", pa.int64()), ("t2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("cls", pa.int64()), ("bag", pa.list_(pa.string())), ("n", pa.int32()), *((t, pa.int64()) for t in _CODES), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -131,7 +134,7 @@ def _signature_rows(segments: int, rows: int):
                 starts, elements = np.concatenate([[0], np.cumsum(n)[:-1]]), np.array(flat, np.uint64)
                 keys, t = band_keys(elements, starts, segments, rows), unary(pivot_tables(elements, starts))
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, segments, dtype=np.int32), pa.array(keys.ravel()))
-                yield pa.record_batch([part.column(0), pa.array(bags, pa.list_(pa.string())), pa.array(n), pa.array(t[:, 0]), pa.array(t[:, 1]), lists], schema=schema)
+                yield pa.record_batch([part.column(0), pa.array(bags, pa.list_(pa.string())), pa.array(n), *(pa.array(t[:, k]) for k in range(LEVELS)), lists], schema=schema)
 
     return run
 
@@ -160,14 +163,14 @@ def class_links(rows: DataFrame, m: DataFrame, share: tuple[int, int] = (7, 10),
     """(a, b, similarity), a < b: classes whose bags agree to at least ``share``."""
     reps = m.groupBy("cls").agg(F.min(F.struct("id", "h")).alias("r")).select("cls", "r.id", "r.h")
     texts = reps.join(_texts(rows), ["id", "h"]).select("cls", "body")
-    sig = materialize(texts.mapInArrow(_signature_rows(segments, samples), "cls bigint, bag array<string>, n int, t1 bigint, t2 bigint, keys array<bigint>"), "signatures")
+    sig = materialize(texts.mapInArrow(_signature_rows(segments, samples), f"cls bigint, bag array<string>, n int, {', '.join(f'{t} bigint' for t in _CODES)}, keys array<bigint>"), "signatures")
     if exact:
         one = sig.dropDuplicates(["cls"])
-        table = _rare_words(one, share).join(one.select("cls", "n", "t1", "t2"), "cls").select("key", "cls", "n", "t1", "t2")
+        table = _rare_words(one, share).join(one.select("cls", "n", *_CODES), "cls").select("key", "cls", "n", *_CODES)
     else:
-        table = sig.select(F.explode("keys").alias("key"), "cls", "n", "t1", "t2")
+        table = sig.select(F.explode("keys").alias("key"), "cls", "n", *_CODES)
     a, b = table.alias("a"), table.alias("b")
-    apart = F.bit_count(F.col("a.t1").bitwiseXOR(F.col("b.t1"))) + F.bit_count(F.col("a.t2").bitwiseXOR(F.col("b.t2")))
+    apart = functools.reduce(operator.add, (F.bit_count(F.col(f"a.{t}").bitwiseXOR(F.col(f"b.{t}"))) for t in _CODES))
     size, least, most = F.col("a.n") + F.col("b.n"), F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     near = (apart * (share[1] + share[0]) <= size * (share[1] - share[0])) & (least * share[1] >= most * share[0])
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & near)

@@ -122,10 +122,10 @@ def random_crops(df: DataFrame, ids: list[str], column: str = "text", shortest:
     return df.withColumn(column, F.array_join(F.slice(w, at + 1, n), " "))
 
 
-def zip_lines(a: DataFrame, b: DataFrame, value: str = "value") -> DataFrame:
-    """Lines of two whole-text files side by side by line number: (line, left, right)."""
-    rows = lambda d, n: d.select(F.posexplode(F.split(F.regexp_replace(value, "\n$", ""), "\n")).alias("line", n))
-    return rows(a, "left").join(rows(b, "right"), "line")
+def zip_lines(a: DataFrame, b: DataFrame, value: str = "value", key: tuple[str, ...] = ()) -> DataFrame:
+    """Lines of whole-text files of two kinds side by side by file (``key``) and line number: (key..., line, left, right)."""
+    rows = lambda d, n: d.select(*key, F.posexplode(F.split(F.regexp_replace(value, "\n$", ""), "\n")).alias("line", n))
+    return rows(a, "left").join(rows(b, "right"), [*key, "line"])
 
 
 def running_offsets(df: DataFrame, key: list[str], pos: str, token: str) -> DataFrame:

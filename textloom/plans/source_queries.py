@@ -312,30 +312,34 @@ def id_map_file(spark, sf_dir):
     return K.key_and_rest(spark.read.text(_text(spark, rows, "map")))
 
 
-def _rooted(rows):
-    """One fixture file with a single root."""
-    return rows.agg(F.concat(F.lit("<root>\n"), F.array_join(F.collect_list("value"), "\n"), F.lit("\n</root>")).alias("value"))
+def _rooted(spark, rows, name: str) -> str:
+    """Rows (k, value) as XML files with one root each, one for every k: a thousand parts, whatever the table's size."""
+    path = scratch(spark, name)
+    one = rows.groupBy("k").agg(F.concat(F.lit("<root>\n"), F.array_join(F.collect_list("value"), "\n"), F.lit("\n</root>")).alias("value"))
+    one.write.partitionBy("k").text(path)
+    return f"{path}/*/"
 
 
 @query("xml_file", "SELECT p_partkey AS k, p_name AS n, CAST(p_size AS BIGINT) AS s FROM part")
 def xml_file(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").selectExpr("concat('<item><k>', p_partkey, '</k><n>', p_name, '</n><s>', p_size, '</s></item>') AS value")
-    return S.read_xml(spark, _text(spark, _rooted(rows), "xml"), "item", "k bigint, n string, s bigint")
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey div 1000 AS k", "concat('<item><k>', p_partkey, '</k><n>', p_name, '</n><s>', p_size, '</s></item>') AS value")
+    return S.read_xml(spark, _rooted(spark, rows, "xml"), "item", "k bigint, n string, s bigint")
 
 
 @query("xml_phrases", f"WITH t AS ({_TOK}) SELECT token AS phrase, CAST(pos AS BIGINT) AS polarity, count(*) AS n FROM t GROUP BY ALL")
 def xml_phrases(spark, sf_dir):
     """Nested paragraphs and sentences, flattened."""
-    b = _as_blocks(spark, sf_dir, "concat('<sentence><S>', x.token, '</S><Polarity>', x.pos, '</Polarity></sentence>')").select(F.concat(F.lit("<paragraph>"), "value", F.lit("</paragraph>")).alias("value"))
-    x = S.read_xml(spark, _text(spark, _rooted(b), "phrases"), "paragraph", "sentence array<struct<S:string,Polarity:bigint>>")
+    b = _as_blocks(spark, sf_dir, "concat('<sentence><S>', x.token, '</S><Polarity>', x.pos, '</Polarity></sentence>')").select(F.expr("sent div 200").alias("k"), F.concat(F.lit("<paragraph>"), "value", F.lit("</paragraph>")).alias("value"))
+    x = S.read_xml(spark, _rooted(spark, b, "phrases"), "paragraph", "sentence array<struct<S:string,Polarity:bigint>>")
     return x.select(F.inline("sentence")).groupBy(F.col("S").alias("phrase"), F.col("Polarity").alias("polarity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("zipped_lines", "WITH o AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS line, p_name AS \"left\", p_brand AS \"right\" FROM part) SELECT CAST(line AS INTEGER) AS line, \"left\", \"right\" FROM o")
+@query("zipped_lines", "SELECT p_partkey // 1000 AS k, CAST(row_number() OVER (PARTITION BY p_partkey // 1000 ORDER BY p_partkey) - 1 AS INTEGER) AS line, p_name AS \"left\", p_brand AS \"right\" FROM part")
 def zipped_lines(spark, sf_dir):
-    g = table(spark, sf_dir, "part").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_brand"))).alias("x"))
-    whole = lambda c: g.select(F.array_join(F.transform("x", lambda y: y[c]), "\n").alias("value"))  # noqa: E731  two files of one fixture
-    return B.zip_lines(whole("p_name"), whole("p_brand"))
+    """Files of a thousand parts, names in one and brands in the other."""
+    g = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 1000").alias("k")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_brand"))).alias("x"))
+    whole = lambda c: g.select("k", F.array_join(F.transform("x", lambda y: y[c]), "\n").alias("value"))
+    return B.zip_lines(whole("p_name"), whole("p_brand"), key=("k",))
 
 
 # --- trees ---

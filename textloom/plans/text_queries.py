@@ -12,8 +12,9 @@ from textloom.operators import conllu as C
 from textloom.operators import packing as P
 from textloom.operators import summaries as S
 from textloom.operators import vocab as V
-from textloom.plans.corpus_queries import _cleaned_sql
+from textloom.plans.corpus_queries import WS, _cleaned_sql
 from textloom.plans.registry import query
+from textloom.plans.summary_queries import _LEN
 from textloom.plans.treebank_queries import _multi
 from textloom.session import table
 
@@ -29,6 +30,20 @@ def detected_tokens(spark, sf_dir):
     return w.select(F.inline(each)).groupBy("model").agg(F.sum("n").alias("n"))
 
 
+# the look-ahead of a pattern may be consumed where only the existence of a match is asked for
+_ANYWHERE = "|".join("(?:" + p.removesuffix(lexicon.END).replace("'", "''") + ")" for p in lexicon.DETECT.values())
+_HIT = f"(?i)(?:{_ANYWHERE})(?:''s)?(?:$|[ \\t\\n\\r]|[.,!?;:](?:[ \\t\\n\\r]|$))"
+_PIECES = r"list_filter(string_split(regexp_replace(x, '([.!?])" + WS + r"', E'\\1\x01', 'g'), E'\x01'), lambda s: trim(s) <> '')"
+
+
+@query("mention_sentence_counts", _LEN.split(",\nl AS")[0].replace("SELECT trim(", "SELECT id, trim(") + f", s AS (SELECT id, x, unnest({_PIECES}) AS s FROM (SELECT DISTINCT id, x FROM t WHERE id IS NOT NULL)), c AS (SELECT id, x, " + _cleaned_sql("lower(translate(s, E'\n\t', '  '))", lexicon.CLEAN_PIPELINE) + f" AS c FROM s), m AS (SELECT id, x, count(*) FILTER (regexp_matches(c, '{_HIT}')) AS n FROM c GROUP BY id, x) SELECT id, max(n) AS n FROM m GROUP BY id HAVING max(n) > 0")
+def mention_sentence_counts(spark, sf_dir):
+    """How many sentences of each entry mention a product, after splitting, cleaning and rewriting."""
+    e = table(spark, sf_dir, "entries").where("id is not null").select("id", X.entry_text().alias("x")).distinct()
+    n = F.size(X.mention_sentences(X.cleaned_sentences(F.col("x")))).cast("bigint")
+    return e.select("id", n.alias("n")).groupBy("id").agg(F.max("n").alias("n")).where("n > 0")
+
+
 _SENTS = "CASE p_size % 4 WHEN 0 THEN array('GPT one', p_name, 'chatbot') WHEN 1 THEN array(p_name, 'gpt-4') WHEN 2 THEN array(p_type, 'a chatbot', 'LLM') ELSE array(p_name) END"
 
 

@@ -155,24 +155,26 @@ def selected_metrics(spark, sf_dir):
 
 @query("scored_files", _MULTI + "SELECT * FROM r")
 def scored_files(spark, sf_dir):
-    """Gold and system written as CoNLL-U, one file each, and scored from the files."""
+    """Gold and system written as CoNLL-U, a file for every thousand sentences, and scored from the files."""
     paths = []
     for system in (False, True):
         path = scratch(spark, "scored")
-        whole = C.render(_multi(spark, sf_dir, system), ["sent"]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent", "value"))), lambda x: x["value"]), "\n\n").alias("value"))
-        whole.withColumn("k", F.lit(1)).write.partitionBy("k").text(path)
+        blocks = C.render(_multi(spark, sf_dir, system), ["sent"]).groupBy(F.expr("sent div 1000").alias("k"))
+        whole = blocks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent", "value"))), lambda x: x["value"]), "\n\n").alias("value"))
+        whole.write.partitionBy("k").text(path)
+        _name_by_folder(spark, path)  # so files of both sides have equal names
         paths.append(path)
-    for k, path in enumerate(paths):  # part files get the same name on both sides
-        _rename_parts(spark, path)
-    return U.score_files(spark, *(f"{p}/k=1/*.conllu" for p in paths))
+    return U.score_files(spark, *(f"{p}/*.conllu" for p in paths))
 
 
-def _rename_parts(spark, path: str) -> None:
+def _name_by_folder(spark, path: str) -> None:
+    """k=7/part-... becomes 7.conllu."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/k=1")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for i, f in enumerate(sorted(x.getPath().toString() for x in fs.listStatus(at) if x.getPath().getName().startswith("part-"))):
-        fs.rename(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.hadoop.fs.Path(f"{path}/k=1/{i}.conllu"))
+    at = lambda *x: jvm.org.apache.hadoop.fs.Path("/".join((path, *x)))
+    fs = at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in [x.getPath().getName() for x in fs.listStatus(at()) if x.getPath().getName().startswith("k=")]:
+        for name in [x.getPath().getName() for x in fs.listStatus(at(folder)) if x.getPath().getName().startswith("part-")]:
+            fs.rename(at(folder, name), at(f"{folder[2:]}.conllu"))
 
 
 @query("range_expansions", f"SELECT lower(concat({_A}, {_B})) AS token, lower(p_name) AS parts, count(*) AS n FROM part GROUP BY ALL")

@@ -50,10 +50,23 @@ def exists(spark: SparkSession, path: str) -> bool:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if not _made:
+        atexit.register(clear, spark)
+    _made.append(path)
     return path
 
 
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes all tables and scratch files made so far and says how many: for long sessions, once the results that read them are written."""
+    n = len(_made)
+    while _made:
+        _remove(spark, _made.pop())
+    return n
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

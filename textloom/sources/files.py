@@ -85,9 +85,15 @@ def write_blocks(df: DataFrame, path: str, column: str = "value", mode: str = "o
     df.select(F.col(column).alias("value")).write.mode(mode).option("lineSep", "\n\n").text(path)
 
 
-def read_tagged(spark: SparkSession, path, docstart: bool = False) -> DataFrame:
-    """Token-per-line entity files of 2 to 5 columns: (file, sent, pos, token, tag) with the first and last column."""
-    b = read_blocks(spark, path).withColumn("sent", F.monotonically_increasing_id())
+def read_tagged(spark: SparkSession, path, docstart: bool = False, ordered: bool = False) -> DataFrame:
+    """Token-per-line entity files of 2 to 5 columns: (file, sent, pos, token, tag) with the first and last column.
+
+    A sentence's number is unique but follows the splits of the files; ``ordered`` reads whole files and numbers the sentences of each from 0.
+    """
+    if ordered:
+        b = read_ordered_blocks(spark, path).withColumnRenamed("name", "file")
+    else:
+        b = read_blocks(spark, path).withColumn("sent", F.monotonically_increasing_id())
     b = b if docstart else b.withColumn("value", F.trim(F.regexp_replace("value", r"(?m)^-DOCSTART-.*\n?", ""))).where("value <> ''")
     rows = b.select("file", "sent", F.posexplode(F.split("value", "\n")).alias("pos", "l")).withColumn("c", F.split(F.trim("l"), r"\t| +"))
     return rows.where("size(c) > 1").select("file", "sent", "pos", F.get("c", F.lit(0)).alias("token"), F.element_at("c", -1).alias("tag"))

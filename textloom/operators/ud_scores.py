@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import conllu as C
 from textloom.operators.tags import prf
-from textloom.session import materialize
+from textloom.session import materialize, merge_join
 
 METRICS = ("Tokens", "Sentences", "Words", "UPOS", "XPOS", "UFeats", "AllTags", "Lemmas", "UAS", "LAS", "CLAS", "MLAS", "BLEX")
 _SEP = "\u0001"
@@ -75,30 +75,31 @@ def _region_pairs(g: DataFrame, s: DataFrame, key: list[str]) -> DataFrame:
     regions = islands(tokens, key).groupBy(*key, "island").agg(F.min("begin").alias("_from"), F.max("end").alias("_to"))
 
     def inside(x: DataFrame, name: str) -> DataFrame:
-        r = x.join(regions, key).where(F.col("begin") >= F.col("_from")).where(F.when(F.col("multi"), F.col("begin") < F.col("_to")).otherwise(F.col("end") <= F.col("_to")))
+        r = merge_join(x, regions, key).where(F.col("begin") >= F.col("_from")).where(F.when(F.col("multi"), F.col("begin") < F.col("_to")).otherwise(F.col("end") <= F.col("_to")))
         return r.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.struct("id_start", "form"))).alias(name))
 
     @F.pandas_udf("array<struct<g_id_start: int, s_id_start: int>>")
     def pairs(gold: pd.Series, system: pd.Series) -> pd.Series:
         return pd.Series([[{"g_id_start": int(a[i]["id_start"]), "s_id_start": int(b[j]["id_start"])} for i, j in lcs_pairs([x["form"] for x in a], [x["form"] for x in b])] for a, b in zip(gold, system)])
 
-    return inside(g, "_g").join(inside(s, "_s"), [*key, "island"]).select(*key, F.inline(pairs("_g", "_s")))
+    return merge_join(inside(g, "_g"), inside(s, "_s"), [*key, "island"]).select(*key, F.inline(pairs("_g", "_s")))
 
 
 def _equal_spans(g: DataFrame, s: DataFrame, key: list[str]) -> DataFrame:
     """Aligned words of sentences without multi-word tokens, and whether the heads are aligned too."""
-    a = _sided(g, key, "g", ("begin", "end")).join(_sided(s, key, "s", ("begin", "end")), [*key, "begin", "end"])
+    a = merge_join(_sided(g, key, "g", ("begin", "end")), _sided(s, key, "s", ("begin", "end")), [*key, "begin", "end"])
     heads = ((F.col("g_head") == 0) & (F.col("s_head") == 0)) | ((F.col("g_head") > 0) & (F.col("s_head") > 0) & (F.col("g_head_begin") == F.col("s_head_begin")) & (F.col("g_head_end") == F.col("s_head_end")))
     return a.withColumn("heads", F.coalesce(heads, F.lit(False))).drop("begin", "end")
 
 
 def _with_regions(g: DataFrame, s: DataFrame, key: list[str]) -> DataFrame:
     """The same for sentences with multi-word tokens: plain words by spans, words in regions by common subsequences, heads by a join."""
-    spans = g.where("not multi").select(*key, "begin", "end", F.col("id_start").alias("g_id_start")).join(s.where("not multi").select(*key, "begin", "end", F.col("id_start").alias("s_id_start")), [*key, "begin", "end"]).drop("begin", "end")
+    plain = lambda x, n: x.where("not multi").select(*key, "begin", "end", F.col("id_start").alias(f"{n}_id_start"))
+    spans = merge_join(plain(g, "g"), plain(s, "s"), [*key, "begin", "end"]).drop("begin", "end")
     pairs = materialize(spans.unionByName(_region_pairs(g, s, key)).distinct(), "pairs")
-    a = pairs.join(_sided(g, key, "g"), [*key, "g_id_start"]).join(_sided(s, key, "s"), [*key, "s_id_start"])
+    a = merge_join(merge_join(pairs, _sided(g, key, "g"), [*key, "g_id_start"]), _sided(s, key, "s"), [*key, "s_id_start"])
     up = pairs.select(*key, F.col("s_id_start").alias("s_head"), F.col("g_id_start").alias("_up"))
-    a = a.join(up, [*key, "s_head"], "left")
+    a = merge_join(a, up, [*key, "s_head"], "left")
     return a.withColumn("heads", F.coalesce(F.col("g_head") == F.when(F.col("s_head") == 0, 0).otherwise(F.col("_up")), F.lit(False))).drop("_up")
 
 
@@ -110,7 +111,7 @@ def scores(gold_words: DataFrame, system_words: DataFrame, key: list[str]) -> Da
         a = _equal_spans(g, s, key)
     else:
         multi = materialize(multi, "multi")
-        part = lambda x, how: x.join(multi, key, how)
+        part = lambda x, how: merge_join(x, multi, key, how)
         a = _equal_spans(part(g, "left_anti"), part(s, "left_anti"), key).unionByName(_with_regions(part(g, "left_semi"), part(s, "left_semi"), key), allowMissingColumns=True)
     eq = lambda *cs: F.expr(" and ".join(f"g_{c} <=> s_{c}" for c in cs))
     uas = F.col("heads")
@@ -120,9 +121,9 @@ def scores(gold_words: DataFrame, system_words: DataFrame, key: list[str]) -> Da
     tests = {"Words": F.lit(True), "UPOS": eq("upos"), "XPOS": eq("xpos"), "UFeats": eq("feats"), "AllTags": eq("upos", "xpos", "feats"), "Lemmas": lemma, "UAS": uas, "LAS": las, "CLAS": clas, "MLAS": clas & eq("upos", "feats", "kids"), "BLEX": clas & lemma}
     ok = a.agg(*(F.count_if(F.coalesce(t, F.lit(False))).alias(m) for m, t in tests.items()))
     tokens = lambda x: x.where("opens_token").select(*key, "begin", "end")  # noqa: E731  the words of a multi-word token have its span
-    same = tokens(g).join(tokens(s), [*key, "begin", "end"]).agg(F.count(F.lit(1)).alias("Tokens"))
+    same = merge_join(tokens(g), tokens(s), [*key, "begin", "end"]).agg(F.count(F.lit(1)).alias("Tokens"))
     heads = lambda x: x.where("opens_sentence").select(*key, "total")
-    whole = heads(g).join(heads(s), [*key, "total"]).agg(F.count(F.lit(1)).alias("Sentences"))
+    whole = merge_join(heads(g), heads(s), [*key, "total"]).agg(F.count(F.lit(1)).alias("Sentences"))
 
     def size(x: DataFrame, n: str) -> DataFrame:
         return x.agg(F.count(F.lit(1)).alias(f"{n}_all"), F.count_if("content").alias(f"{n}_content"), F.count_if("opens_token").alias(f"{n}_tokens"), F.count_if("opens_sentence").alias(f"{n}_sentences"))

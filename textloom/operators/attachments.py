@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.session import once
+from textloom.session import materialize, merge_join, once
 
 WORD = "struct<text:string,lemma:string,upos:string,deprel:string,head_id:int,id:int,children:array<int>>"
 ROLES = ("head", "grandparent", "sibling", "child", "grandchild")
@@ -65,22 +65,23 @@ def attachments(sent: DataFrame, one_hop: bool = True, inferred: str | None = No
 
 
 def attachments_by_joins(words: DataFrame, key: list[str], one_hop: bool = True) -> DataFrame:
-    """Relational twin over word rows (key columns, id, head_id, deprel, text, lemma, upos), for sentences of any length."""
+    """Relational twin over word rows (key columns, id, head_id, deprel, text, lemma, upos), for sentences of any length: two
+    joins find heads and children, two more what lies behind them."""
     w = words.withColumn("model", X.canonical(F.col("text")))
     m = w.where("model is not null").select(*key, F.col("id").alias("m_id"), F.col("head_id").alias("m_head"), F.col("deprel").alias("m_rel"), "model")
-    free = w.where("model is null").drop("model")
-    pick = lambda df, role: df.select(*key, "model", F.lit(role).alias("role"), F.lower("lemma").alias("word"), "upos").where("word is not null")
-    kid = m.join(free.withColumn("m_id", F.col("head_id")), [*key, "m_id"])
-    head = m.where("m_rel <> 'root' and m_head > 0").join(free.withColumn("m_head", F.col("id")), [*key, "m_head"])
-    out = pick(head, "head").unionByName(pick(kid, "child"))
+    free = w.where("model is null").select(*key, "id", "head_id", F.when(F.expr("deprel <> 'root' and head_id > 0"), F.col("head_id")).alias("up"), F.lower("lemma").alias("word"), "upos")
+    at = lambda c: free.withColumn("at", F.col(c))
+    kid = merge_join(m.withColumn("at", F.col("m_id")), at("head_id"), [*key, "at"]).withColumn("role", F.lit("child")).withColumn("up", F.lit(None).cast(free.schema["up"].dataType))
+    head = merge_join(m.where("m_rel <> 'root' and m_head > 0").withColumn("at", F.col("m_head")), at("id"), [*key, "at"]).withColumn("role", F.lit("head"))
+    near = head.unionByName(kid, allowMissingColumns=True).select(*key, "model", "role", "word", "upos", "id", "m_id", "up")
+    out = [*key, "model", "role", "word", "upos"]
     if one_hop:
-        up = head.where("deprel <> 'root' and head_id > 0").select(*key, "model", F.col("head_id").alias("g"))
-        beside = head.select(*key, "model", F.col("id").alias("g"), "m_id")
-        down = kid.select(*key, "model", F.col("id").alias("g"))
-        out = out.unionByName(pick(up.join(free.withColumn("g", F.col("id")), [*key, "g"]), "grandparent"))
-        out = out.unionByName(pick(beside.join(free.withColumn("g", F.col("head_id")), [*key, "g"]).where("id <> m_id"), "sibling"))
-        out = out.unionByName(pick(down.join(free.withColumn("g", F.col("head_id")), [*key, "g"]), "grandchild"))
-    return out
+        near = materialize(near, "attached")
+        above = near.select(*key, "model", F.lit("grandparent").alias("role"), F.col("up").alias("at")).where("at is not null")
+        beside = near.select(*key, "model", F.when(F.col("role") == "head", "sibling").otherwise("grandchild").alias("role"), F.col("id").alias("at"), "m_id")
+        far = merge_join(above, at("id"), [*key, "at"]).select(*out)
+        return near.select(*out).unionByName(far).unionByName(merge_join(beside, at("head_id"), [*key, "at"]).where("role = 'grandchild' or id <> m_id").select(*out)).where("word is not null")
+    return near.select(*out).where("word is not null")
 
 
 def triples(sent: DataFrame) -> DataFrame:

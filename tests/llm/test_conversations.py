@@ -41,5 +41,13 @@ def test_links(spark):
     assert all(x.score < 1 for x in C.reply_links(df, C.messages(df)).where("kind = 'inferred' and score is not null").collect())
 
 
+def test_kept_by_scored_links(spark):
+    rows, convs = C.conversations(spark.createDataFrame(ROWS, SCHEMA))
+    links = {r.id: (r.parent_id, r.score) for r in rows.where("not post").collect()}
+    assert links["a3"] == ("a2", 1.0) and links["e1"][0] == "e" and links["e3"][0] == "e2" and 0 < links["e1"][1] < 1 and 0 < links["e3"][1] < 1
+    below = {r.conv for r in rows.where("not post and coalesce(score, 0) < 1").collect()}
+    assert below == {"e", "g", "h"} and not below & {r.conv for r in convs.where("state = 'kept'").collect()}
+
+
 def test_empty(spark):
     assert C.turns(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -6,8 +6,8 @@ the post and all messages before the comment compete by time, by naming the auth
 common, and the best one below 1 is taken as an inferred parent. The post, the ``look_back`` messages
 before and those of named authors are scored first; of the rest only those whose time leaves them a
 chance against the best so far, which loses none, whatever ``look_back`` is. The links form trees; a conversation
-with a comment that has no recorded link, or with a link against time, is broken, whichever parent would
-be inferred, so ``conversations`` and ``turns`` need the recorded links only.
+is kept if the likeliest parent of each of its comments is the recorded one, scored 1: with a comment whose best
+link scores less, or that has none, or with a link against time, it is broken.
 
 A hot thread is never one task's work: links are equi-joins on ids and on (conversation,
 position), flags are partial aggregates, and turns are numbered over range partitions.
@@ -112,11 +112,11 @@ def _inferred(entries: DataFrame, m: DataFrame, loose: DataFrame, look_back: int
 def conversations(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages with their links, and one row per conversation with what is wrong with it."""
     m = messages(entries)
-    links = reply_links(entries, m, infer=False)
+    links = reply_links(entries, m)
     up = m.select(F.col("id").alias("parent_id"), F.col("t").alias("p_t"))
     linked = links.join(up, "parent_id", "left").select("id", "parent_id", "kind", "score", "p_t")
     rows = m.where("conv is not null").join(linked, "id", "left")
-    broken = ~F.col("post") & ((F.col("kind") != "recorded") | (F.col("root") != F.col("conv")) | F.col("root").isNull() | F.coalesce(F.col("t") < F.col("p_t"), F.lit(False)))
+    broken = ~F.col("post") & ((F.coalesce("score", F.lit(0.0)) < 1) | (F.col("root") != F.col("conv")) | F.col("root").isNull() | F.coalesce(F.col("t") < F.col("p_t"), F.lit(False)))
     rows = materialize(rows.select("conv", "id", "post", "text", "author", "is_submitter", "t", "parent_id", "kind", "score", broken.alias("broken")), "linked")
     heads = rows.where("post").select("conv", F.col("author").alias("op_author"), F.col("text").alias("head_text"))
     stats = rows.where("not post").groupBy("conv").agg(F.max("broken").alias("broken"), F.sum(F.col("text").cast("bigint")).alias("comments"))

@@ -1,16 +1,19 @@
 """Scores of a parsed text against gold: tokens, sentences, words, tags, attachments, lemmas.
 
-Both sides are word rows with character spans over the same text. Words are aligned by equal spans in one
-join, and each word carries the span of its head, so that heads are compared without another join. Only sentences
-with multi-word tokens, whose words have no spans of their own, take a second way: the spans of such tokens of
-both sides form regions, and in a region a longest common subsequence of the forms decides.
+Both sides are word rows with character spans over the same text. The words of a sentence are gathered on either side and
+the sentences meet in one join; Python then counts a sentence at a time and sends on one row of sums for each batch. Words
+are aligned by equal spans. Only in regions of multi-word tokens, whose words have no spans of their own, a longest common
+subsequence of the forms decides. Two heads agree if both are the root or if they are aligned.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,28 +23,22 @@ from textloom.session import materialize, merge_join
 
 METRICS = ("Tokens", "Sentences", "Words", "UPOS", "XPOS", "UFeats", "AllTags", "Lemmas", "UAS", "LAS", "CLAS", "MLAS", "BLEX")
 _SEP = "\u0001"
+_FIELDS = ("id_start", "begin", "end", "multi", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "content", "kid")
+_ID, _BEGIN, _END, _MULTI, _FORM, _LEMMA, _UPOS, _XPOS, _FEATS, _HEAD, _DEPREL, _CONTENT, _KID = range(len(_FIELDS))
+_SIZES = ("all", "content", "tokens", "sentences")
+_COUNTS = (*METRICS, *(f"g_{x}" for x in _SIZES), *(f"s_{x}" for x in _SIZES))
+_AT_ONCE = 1000  # sentences held as Python objects at one time
 
 
-def prepared(words: DataFrame, key: list[str]) -> DataFrame:
-    """Plain words with spans, universal features sorted, relation without subtype, word-class flags, the head's span and
-    the functional children. Everything is one window over the sentence."""
+def sentences(words: DataFrame, key: list[str], name: str) -> DataFrame:
+    """(key..., name): the plain words of each sentence in order, with spans, universal features sorted, relation without
+    subtype, the content flag, and what a functional word counts as among the children of its head."""
     w = C.surface_spans(words, key)
     feats = F.array_join(F.array_sort(F.filter(F.split(F.coalesce("feats", F.lit("")), r"\|"), lambda f: F.split_part(f, F.lit("="), F.lit(1)).isin(C.UNIVERSAL_FEATURES))), "|")
     rel = F.split_part(F.coalesce("deprel", F.lit("")), F.lit(":"), F.lit(1))
-    w = w.select(*key, "id_start", "begin", "end", "multi", F.lower("form").alias("form"), *(F.coalesce(c, F.lit("_")).alias(c) for c in ("lemma", "upos", "xpos")), feats.alias("feats"), "head", rel.alias("deprel"), rel.isin(C.CONTENT).alias("content"), rel.isin(C.FUNCTIONAL).alias("function"))
-    whole = Window.partitionBy(*key).orderBy("id_start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    kid = F.when(F.col("function"), F.concat_ws(_SEP, "deprel", "upos", "feats"))
-    w = w.withColumn("_all", F.collect_list(F.struct("id_start", "begin", "end", "head", kid.alias("kid"))).over(whole)).withColumn("total", F.max("end").over(whole))
-    order = Window.partitionBy(*key).orderBy("id_start")
-    w = w.withColumn("opens_token", ~F.col("multi") | F.coalesce(F.lag("begin").over(order) != F.col("begin"), F.lit(True))).withColumn("opens_sentence", F.lag("begin").over(order).isNull())
-    up = F.get("_all", F.col("head") - 1)
-    up = F.when(up["id_start"] == F.col("head"), up)
-    kids = F.transform(F.filter("_all", lambda x: (x["head"] == F.col("id_start")) & x["kid"].isNotNull()), lambda x: x["kid"])
-    return w.withColumn("head_begin", up["begin"]).withColumn("head_end", up["end"]).withColumn("kids", F.array_join(F.array_sort(kids), "\u0002")).drop("_all", "function")
-
-
-def _sided(x: DataFrame, key: list[str], side: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return x.select(*key, *keep, *(F.col(c).alias(f"{side}_{c}") for c in x.columns if c not in (*key, *keep)))
+    w = w.select(*key, "id_start", "begin", "end", "multi", F.lower("form").alias("form"), *(F.coalesce(c, F.lit("_")).alias(c) for c in ("lemma", "upos", "xpos")), feats.alias("feats"), "head", rel.alias("deprel"), rel.isin(C.CONTENT).alias("content"))
+    w = w.withColumn("kid", F.when(F.col("deprel").isin(C.FUNCTIONAL), F.concat_ws(_SEP, "deprel", "upos", "feats")))
+    return w.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*_FIELDS))).alias(name))
 
 
 def islands(spans: DataFrame, key: list[str]) -> DataFrame:
@@ -69,68 +66,109 @@ def lcs_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _region_pairs(g: DataFrame, s: DataFrame, key: list[str]) -> DataFrame:
-    """(key..., g_id_start, s_id_start): in every region of overlapping multi-word tokens, the words of a longest common subsequence."""
-    tokens = g.where("multi").select(*key, "begin", "end").unionByName(s.where("multi").select(*key, "begin", "end")).distinct()
-    regions = islands(tokens, key).groupBy(*key, "island").agg(F.min("begin").alias("_from"), F.max("end").alias("_to"))
+def _same_spans(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
+    """Positions of the words that have one span."""
+    at = defaultdict(list)
+    for j, y in enumerate(b):
+        at[y[_BEGIN], y[_END]].append(j)
+    return [(i, j) for i, x in enumerate(a) for j in at.get((x[_BEGIN], x[_END]), ())]
 
-    def inside(x: DataFrame, name: str) -> DataFrame:
-        r = merge_join(x, regions, key).where(F.col("begin") >= F.col("_from")).where(F.when(F.col("multi"), F.col("begin") < F.col("_to")).otherwise(F.col("end") <= F.col("_to")))
-        return r.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.struct("id_start", "form"))).alias(name))
 
-    @F.pandas_udf("array<struct<g_id_start: int, s_id_start: int>>")
-    def pairs(gold: pd.Series, system: pd.Series) -> pd.Series:
-        return pd.Series([[{"g_id_start": int(a[i]["id_start"]), "s_id_start": int(b[j]["id_start"])} for i, j in lcs_pairs([x["form"] for x in a], [x["form"] for x in b])] for a, b in zip(gold, system)])
+def _regions(*sides: list[tuple]) -> list[tuple[int, int]]:
+    """(from, to) of overlapping spans of multi-word tokens of both sides."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted({(x[_BEGIN], x[_END]) for words in sides for x in words if x[_MULTI]}):
+        if out and begin < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((begin, end))
+    return out
 
-    return merge_join(inside(g, "_g"), inside(s, "_s"), [*key, "island"]).select(*key, F.inline(pairs("_g", "_s")))
+
+def _inside(words: list[tuple], begins: list[int], begin: int, end: int) -> list[int]:
+    """Positions of the words in a region; the begins of words never fall."""
+    out = []
+    for i in range(bisect_left(begins, begin), len(words)):
+        if begins[i] > end:
+            break
+        if begins[i] < end if words[i][_MULTI] else words[i][_END] <= end:
+            out.append(i)
+    return out
 
 
-def _equal_spans(g: DataFrame, s: DataFrame, key: list[str]) -> DataFrame:
-    """Aligned words of sentences without multi-word tokens, and whether the heads are aligned too."""
-    a = merge_join(_sided(g, key, "g", ("begin", "end")), _sided(s, key, "s", ("begin", "end")), [*key, "begin", "end"])
-    heads = ((F.col("g_head") == 0) & (F.col("s_head") == 0)) | ((F.col("g_head") > 0) & (F.col("s_head") > 0) & (F.col("g_head_begin") == F.col("s_head_begin")) & (F.col("g_head_end") == F.col("s_head_end")))
-    return a.withColumn("heads", F.coalesce(heads, F.lit(False))).drop("begin", "end")
+def aligned(g: list[tuple], s: list[tuple]) -> list[tuple[int, int]]:
+    """Positions of aligned words of a sentence: plain words by spans, words in regions by common subsequences."""
+    pairs = [(i, j) for i, j in _same_spans(g, s) if not (g[i][_MULTI] or s[j][_MULTI])]
+    regions = _regions(g, s)
+    if not regions:
+        return pairs
+    at = [[x[_BEGIN] for x in words] for words in (g, s)]
+    for r in regions:
+        a, b = _inside(g, at[0], *r), _inside(s, at[1], *r)
+        pairs += ((a[i], b[j]) for i, j in lcs_pairs([g[i][_FORM] for i in a], [s[j][_FORM] for j in b]))
+    return sorted(set(pairs))
 
 
-def _with_regions(g: DataFrame, s: DataFrame, key: list[str]) -> DataFrame:
-    """The same for sentences with multi-word tokens: plain words by spans, words in regions by common subsequences, heads by a join."""
-    plain = lambda x, n: x.where("not multi").select(*key, "begin", "end", F.col("id_start").alias(f"{n}_id_start"))
-    spans = merge_join(plain(g, "g"), plain(s, "s"), [*key, "begin", "end"]).drop("begin", "end")
-    pairs = materialize(spans.unionByName(_region_pairs(g, s, key)).distinct(), "pairs")
-    a = merge_join(merge_join(pairs, _sided(g, key, "g"), [*key, "g_id_start"]), _sided(s, key, "s"), [*key, "s_id_start"])
-    up = pairs.select(*key, F.col("s_id_start").alias("s_head"), F.col("g_id_start").alias("_up"))
-    a = merge_join(a, up, [*key, "s_head"], "left")
-    return a.withColumn("heads", F.coalesce(F.col("g_head") == F.when(F.col("s_head") == 0, 0).otherwise(F.col("_up")), F.lit(False))).drop("_up")
+def _kids(words: list[tuple]) -> dict[int, list[str]]:
+    out = defaultdict(list)
+    for head, kid in sorted((x[_HEAD], x[_KID]) for x in words if x[_KID] is not None and x[_HEAD] is not None):
+        out[head].append(kid)
+    return out
+
+
+def _tokens(words: list[tuple]) -> list[tuple]:
+    """The first word of each token: all words of a multi-word token have its span."""
+    return [x for i, x in enumerate(words) if not x[_MULTI] or not i or words[i - 1][_BEGIN] != x[_BEGIN]]
+
+
+def counted(g: list[tuple], s: list[tuple]) -> list[int]:
+    """What a sentence adds to each of ``_COUNTS``; a side without the sentence has no words."""
+    tokens = _tokens(g), _tokens(s)
+    sizes = [n for x, t in zip((g, s), tokens) for n in (len(x), sum(w[_CONTENT] for w in x), len(t), bool(x))]
+    n = [0] * len(METRICS)
+    if g and s:
+        n[0] = len(_same_spans(*tokens))
+        n[1] = max(x[_END] for x in g) == max(x[_END] for x in s)
+        pairs, kids_g, kids_s, ups = aligned(g, s), _kids(g), _kids(s), defaultdict(list)
+        for i, j in pairs:
+            ups[s[j][_ID]].append(g[i][_ID])
+        for i, j in pairs:
+            a, b = g[i], s[j]
+            upos, xpos, feats = a[_UPOS] == b[_UPOS], a[_XPOS] == b[_XPOS], a[_FEATS] == b[_FEATS]
+            lemma = a[_LEMMA] in (b[_LEMMA], "_")
+            uas = a[_HEAD] == 0 if b[_HEAD] == 0 else a[_HEAD] in ups.get(b[_HEAD], ())
+            las = uas and a[_DEPREL] == b[_DEPREL]
+            clas = las and a[_CONTENT]
+            mlas = clas and upos and feats and kids_g.get(a[_ID]) == kids_s.get(b[_ID])
+            for k, yes in enumerate((True, upos, xpos, feats, upos and xpos and feats, lemma, uas, las, clas, mlas, clas and lemma), 2):
+                n[k] += yes
+    return [*n, *sizes]
+
+
+def _words(side: pa.ListArray) -> list[list[tuple]]:
+    """Words of each sentence as tuples; a missing sentence has none."""
+    rows, out, at = list(zip(*(c.to_pylist() for c in side.flatten().flatten()))), [], 0
+    for n in side.value_lengths().fill_null(0).to_pylist():
+        out.append(rows[at : at + n])
+        at += n
+    return out
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        total = [0] * len(_COUNTS)
+        for i in range(0, b.num_rows, _AT_ONCE):
+            part = b.slice(i, _AT_ONCE)
+            for g, s in zip(_words(part.column(0)), _words(part.column(1))):
+                total = [x + y for x, y in zip(total, counted(g, s))]
+        yield pa.RecordBatch.from_pydict({c: pa.array([n], pa.int64()) for c, n in zip(_COUNTS, total)})
 
 
 def scores(gold_words: DataFrame, system_words: DataFrame, key: list[str]) -> DataFrame:
     """(metric, correct, gold_total, system_total, precision, recall, f1) of the thirteen metrics. A key is a sentence of both sides."""
-    g, s = materialize(prepared(gold_words, key), "gold"), materialize(prepared(system_words, key), "system")
-    multi = g.where("multi").select(*key).unionByName(s.where("multi").select(*key)).distinct()
-    if multi.isEmpty():
-        a = _equal_spans(g, s, key)
-    else:
-        multi = materialize(multi, "multi")
-        part = lambda x, how: merge_join(x, multi, key, how)
-        a = _equal_spans(part(g, "left_anti"), part(s, "left_anti"), key).unionByName(_with_regions(part(g, "left_semi"), part(s, "left_semi"), key), allowMissingColumns=True)
-    eq = lambda *cs: F.expr(" and ".join(f"g_{c} <=> s_{c}" for c in cs))
-    uas = F.col("heads")
-    las = uas & eq("deprel")
-    clas = las & F.col("g_content")
-    lemma = eq("lemma") | (F.col("g_lemma") == "_")
-    tests = {"Words": F.lit(True), "UPOS": eq("upos"), "XPOS": eq("xpos"), "UFeats": eq("feats"), "AllTags": eq("upos", "xpos", "feats"), "Lemmas": lemma, "UAS": uas, "LAS": las, "CLAS": clas, "MLAS": clas & eq("upos", "feats", "kids"), "BLEX": clas & lemma}
-    ok = a.agg(*(F.count_if(F.coalesce(t, F.lit(False))).alias(m) for m, t in tests.items()))
-    tokens = lambda x: x.where("opens_token").select(*key, "begin", "end")  # noqa: E731  the words of a multi-word token have its span
-    same = merge_join(tokens(g), tokens(s), [*key, "begin", "end"]).agg(F.count(F.lit(1)).alias("Tokens"))
-    heads = lambda x: x.where("opens_sentence").select(*key, "total")
-    whole = merge_join(heads(g), heads(s), [*key, "total"]).agg(F.count(F.lit(1)).alias("Sentences"))
-
-    def size(x: DataFrame, n: str) -> DataFrame:
-        return x.agg(F.count(F.lit(1)).alias(f"{n}_all"), F.count_if("content").alias(f"{n}_content"), F.count_if("opens_token").alias(f"{n}_tokens"), F.count_if("opens_sentence").alias(f"{n}_sentences"))
-
-    one = ok
-    for x in (same, whole, size(g, "g"), size(s, "s")):
-        one = one.join(F.broadcast(x), F.lit(True))
+    both = merge_join(sentences(gold_words, key, "g"), sentences(system_words, key, "s"), key, "full").select("g", "s")
+    sums = both.mapInArrow(_sums, ", ".join(f"{c} bigint" for c in _COUNTS))
+    one = materialize(sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS)), "counts")
     of = {"Tokens": "tokens", "Sentences": "sentences", "CLAS": "content", "MLAS": "content", "BLEX": "content"}
     rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("correct"), F.col(f"g_{k}").alias("gold_total"), F.col(f"s_{k}").alias("system_total")) for m in METRICS for k in [of.get(m, "all")]))
     out = one.select(F.inline(rows))

@@ -18,3 +18,9 @@ def test_counts_come_from_one_join(spark, monkeypatch):
     table = ud_scores.score_table(scored(spark), counts=True)
     assert sum(p.count("SortMergeJoin") for p in plans) == 1 and not any("Broadcast" in p for p in (*plans, plan(table)))
     assert lines(table)[0] == "Metric     |  Correct |      Gold |    System" and lines(table)[4] == "Words      |         6 |         6 |         6"
+
+
+def test_table_is_sorted_without_the_words(spark):
+    table = ud_scores.score_table(scored(spark))
+    assert not any(x in plan(table) for x in ("Join", "Window", "Generate explode"))
+    assert lines(table)[0] == "Metric     | Precision |    Recall |  F1 Score" and lines(table)[4] == "Words      |    100.00 |    100.00 |    100.00"
